@@ -14,6 +14,7 @@ columns are ignored.
 from __future__ import annotations
 
 import bisect
+import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import bucketed_positions, materialize, require
-from .tokens import Encoder, chunks, tokenizer_path
+from .tokens import chunks, encoder, tokenizer_path
 
 SEQUENCE = 1024
 
@@ -34,13 +35,13 @@ def pieces(docs: DataFrame, length: int = SEQUENCE, tokenizer: str | None = None
     tokenizer = tokenizer or tokenizer_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, "<u4", end_id)
+        encode = encoder(tokenizer, "<u4", end_id).encode
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for some in chunks(list(zip(doc_ids, texts, strict=True)), [len(t or "") for t in texts]):
                 rows: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
                 ids = []
-                for (doc_id, _), data in zip(some, encoder.encode([t for _, t in some]), strict=True):
+                for (doc_id, _), data in zip(some, encode([t for _, t in some]), strict=True):
                     total = len(data) // 4
                     for start in range(0, total, length):
                         piece = data[4 * start : 4 * (start + length)]
@@ -126,7 +127,7 @@ def pack(cut: DataFrame, length: int = SEQUENCE) -> DataFrame:
     spark = cut.sparkSession
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``length`` rows
     table = places(pack_histogram(histogram, length))
-    buckets = max(1, sum(histogram.values()) // 100_000)
+    buckets = max(1, math.isqrt(sum(histogram.values())))
     spread = F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets))
     order = [F.col(c) for c in ("doc_id", "start", "doc_tokens", "ids_crc32")]
     ranked = bucketed_positions(cut, ["length"], order, spread, F.lit(1), buckets, "_rank")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from .common import attempt_tag, fresh_dir, materialize, open_fs, require
-from .tokens import Encoder, chunks, tokenizer_path
+from .tokens import chunks, encoder, tokenizer_path
 
 #: Fixed values of the mask: bits rotated, number added.
 MASK_SHIFT, MASK_ADD = 15, 0xA282EAD8
@@ -63,7 +63,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, dt
     tokenizer = tokenizer or tokenizer_path()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tag, offset, n_docs, n_tokens = Encoder(tokenizer, dtype, end_id), attempt_tag(), 0, 0, 0
+        encode, tag, offset, n_docs, n_tokens = encoder(tokenizer, dtype, end_id).encode, attempt_tag(), 0, 0, 0
         width, entries, out = np.dtype(dtype).itemsize, [], None
         fs, base = open_fs(folder)
         for batch in batches:
@@ -72,7 +72,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, dt
                 if out is None:
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(f"{base}/{tag}.rec", buffer_size=1 << 20)
-                for (doc_id, _), payload in zip(some, encoder.encode([t for _, t in some]), strict=True):
+                for (doc_id, _), payload in zip(some, encode([t for _, t in some]), strict=True):
                     record = frame(payload)
                     out.write(record)
                     entries.append((doc_id or 0, doc_id is not None, offset, len(payload) // width))
@@ -129,7 +129,7 @@ def read_records(manifest: DataFrame, dtype: str = "<u2", with_ids: bool = False
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long").alias("start"))
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, file string, byte_offset long" + (", ids array<int>" if with_ids else "")
-    return placed.repartition("file").mapInArrow(read, schema)
+    return placed.repartition(max(1, manifest.count())).mapInArrow(read, schema)
 
 
 def token_records(docs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ does not hold, are encoded whole.
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -94,6 +95,12 @@ class Encoder:
         return [b"".join(map(get, ps)) + self.end for ps in parts]
 
 
+@functools.cache
+def encoder(path: str, dtype: str = "<u4", end: int = 0) -> Encoder:
+    """One encoder for all tasks of a worker process, so that what one task has looked up serves the next."""
+    return Encoder(path, dtype, end)
+
+
 def chunks(rows: list, sizes: list[int], most: int = 4_000_000):
     """Runs of ``rows`` whose sizes sum to about ``most``, so that a batch of long texts stays small."""
     start, total = 0, 0
