@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import n_words, require, temp_name, words
+from .common import require, temp_name
 
 SYMBOLS = r"[#*$%&|<>]"
 _HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -35,31 +35,54 @@ def _covered(starts: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
 
-def _repeat_words(ws: Column) -> Column:
-    """Words in three-word windows that occur twice or more; windows are compared by a 64-bit hash within one text."""
-    windows = F.sort_array(F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 2, F.lit(0))), lambda w, i: F.struct(F.xxhash64(w, ws[i + 1], ws[i + 2]).alias("h"), i.alias("i"))))
+def _starts_by_value(h: Column) -> Column:
+    """Places of repeated values, found by sorting values with their places."""
 
     def repeated(a: Column) -> Column:
         same = F.filter(a, lambda x, i: F.get(a, i - 1)["h"].eqNullSafe(x["h"]) | F.get(a, i + 1)["h"].eqNullSafe(x["h"]))
         return F.sort_array(F.transform(same, lambda x: x["i"]))
 
-    return let(let(windows, repeated), _covered).cast("long")
+    return let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), repeated)
+
+
+def _starts_by_few(h: Column, values: Column) -> Column:
+    """Places of the few repeated ``values``."""
+    marked = F.transform(h, lambda x, i: F.when(F.array_contains(values, x), i))
+    return F.filter(marked, lambda x: x.isNotNull())
+
+
+def _repeat_words(ws: Column) -> Column:
+    """Words in three-word windows that occur twice or more; windows are compared by a 64-bit hash within one text.
+
+    Texts without a repeated window, which are most, end at a count of distinct windows.
+    """
+    windows = F.slice(F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2))), 1, F.greatest(F.size(ws) - 2, F.lit(0)))
+
+    def few_or_many(h: Column) -> Column:
+        values = let(F.sort_array(h), lambda a: F.array_distinct(F.filter(a, lambda x, i: F.get(a, i - 1).eqNullSafe(x))))
+        return let(values, lambda v: F.when(F.size(v) <= 24, _starts_by_few(h, v)).otherwise(_starts_by_value(h)))
+
+    return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(few_or_many(h), _covered)))
 
 
 def profile(docs: DataFrame) -> DataFrame:
     """Counts of every whole text: doc_id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     require(docs, "doc_id", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
+    bare = F.trim(text, F.lit(" \t\n\x0b\x0c\r"))
+    ws = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
+    visible = text
+    for space in " \t\n\x0b\x0c\r":
+        visible = F.replace(visible, F.lit(space), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(_HAS_WORD))
     counted = docs.select(
         "doc_id",
         "text",
-        n_words(F.col("text")).alias("n_words"),
-        F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
+        let(ws, lambda a: F.struct(F.size(a).cast("long").alias("n"), _repeat_words(a).cast("long").alias("r"))).alias("_w"),
+        F.length(visible).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        let(words(F.col("text")), _repeat_words).alias("n_repeat_words"),
-    )
+    ).select("doc_id", "text", F.col("_w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("_w.r").alias("n_repeat_words"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
 
@@ -72,22 +95,22 @@ class Rule:
     fails: Column
 
 
-def default_rules(text: Column | None = None) -> list[Rule]:
-    """Rules on the text alone; each is a count against the number of words or letters."""
-    text = F.coalesce(F.col("text") if text is None else text, F.lit(""))
+def default_rules(counted: bool = False) -> list[Rule]:
+    """Rules on the text column alone; with ``counted`` they take what profile() has counted instead of counting again."""
+    text = F.coalesce(F.col("text"), F.lit(""))
     count = lambda rx: F.regexp_count(text, F.lit(rx))
-    total = count(r"[^\x20\x09-\x0D]+")
-    chars = F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""))
-    lines = count(r"(?m)^[^\n]*[^\n\x20\x09-\x0D]")
+    total = F.col("n_words") if counted else count(r"[^\x20\x09-\x0D]+")
+    chars = F.col("word_chars") if counted else F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""))
+    symbols = F.col("n_symbols") if counted else count(SYMBOLS)
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     return [
         Rule("word_length", (chars < 2 * total) | (chars > 12 * total)),
-        Rule("symbols", 10 * count(SYMBOLS) > total),
-        Rule("capitals", 2 * count(r"\p{Lu}") > count(r"\p{L}")),
+        Rule("symbols", 10 * symbols > total),
+        Rule("capitals", 2 * count(r"\p{Lu}") > chars),
         Rule("exclamations", 10 * count(r"!!+") > total),
-        Rule("letters", 10 * count(r"[^\x20\x09-\x0D]*\p{L}[^\x20\x09-\x0D]*") < 8 * total),
+        Rule("letterless_words", 10 * count(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]++(?![^\x20\x09-\x0D])") > 2 * total),
         Rule("ellipsis_lines", 10 * count(r"(?m)(?:\.\.\.|\x{2026})[\x20\x09\x0D]*$") > 3 * lines),
         Rule("bullet_lines", 10 * count(r"(?m)^[\x20\x09]*[-*\x{2022}]\x20") > 9 * lines),
-        Rule("repeated_word", 5 * count(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+(?=\1(?![^\x20\x09-\x0D]))") > total),
     ]
 
 
@@ -96,7 +119,7 @@ def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 1000) ->
 
     The sample decides the order only, never a verdict.
     """
-    sample = docs.sample(0.25, seed=7).select("text").limit(sample_rows).cache()
+    sample = docs.sample(0.25, seed=7).limit(sample_rows).cache()
     try:
         total = sample.count()
         if not total:
@@ -130,6 +153,7 @@ def cascade(docs: DataFrame, rules: list[Rule] | None = None, keep_only: bool =
 def quality(docs: DataFrame) -> DataFrame:
     """Base counts, base verdict and the cascade's verdict of every document."""
     require(docs, "doc_id", "text")
-    rules = order_rules(docs, default_rules())
+    counts = profile(docs)
+    rules = order_rules(counts, default_rules(counted=True))
     kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(first_failure(rules).isNull())
-    return profile(docs).withColumn("kept", kept).drop("text")
+    return counts.withColumn("kept", kept).drop("text")
