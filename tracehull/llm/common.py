@@ -60,6 +60,13 @@ def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of at most ``rows`` rows, so that long ones do not fill a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows or int(spark.conf.get(key, "10000")) <= 0:
+        spark.conf.set(key, str(rows))
+
+
 def attempt_tag() -> str:
     """A name part that no other attempt of any task shares."""
     from pyspark import TaskContext
@@ -72,6 +79,7 @@ def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
+    short_batches(df.sparkSession)
 
 
 def temp_name(df: DataFrame, stem: str) -> str:

@@ -108,7 +108,7 @@ def read_records(manifest: DataFrame, dtype: str = "<u2", with_ids: bool = False
                         tokens = np.frombuffer(unframe(data, at), dtype).astype("<u4")
                         if len(tokens) != n:
                             raise ValueError("the index and the record differ")
-                        crcs.append(zlib.crc32(tokens.tobytes()))
+                        crcs.append(zlib.crc32(tokens))
                         if with_ids:
                             ids.append(tokens)
                     n = part["n_tokens"].astype(np.int64)

@@ -10,6 +10,7 @@ does not hold, are encoded whole.
 
 from __future__ import annotations
 
+import array
 import functools
 import re
 
@@ -17,6 +18,7 @@ import numpy as np
 
 _PART = re.compile(r"[ \n\t\r]*[A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?=[ \n\t\r,.!?;:$%*&#|]|\Z)|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+\Z")
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+_LATIN = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 _SPACES = frozenset(" \n\t\r")
 
 
@@ -47,6 +49,10 @@ class Encoder:
             raise ValueError(f"{self.dtype} cannot hold the ids of this vocabulary")
         self.end = np.array([end], self.dtype).tobytes()
         vocabulary = self.tokenizer.get_vocab()
+        # bytes as the vocabulary writes them: printable ones as they are, the others from 256 on
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.typecode = {2: "H", 4: "I"}.get(self.dtype.itemsize, "")
         #: A token is written with one character for each byte.
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -77,22 +83,31 @@ class Encoder:
                 at = cut
         return out
 
+    def _encode_words(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that are one space and letters: one pre-token each, so the model alone is asked."""
+        tokenize, table, code, width = self.tokenizer.model.tokenize, self.letters, self.typecode, self.dtype.itemsize
+        return [array.array(code, [t.id for t in tokenize(p.encode().decode("latin-1").translate(table))]).tobytes() for p in parts] if width in (2, 4) else self._encode_parts(parts)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         parts = [_PART.findall(t) if t and not _ODD_SPACE.search(t) else [t or ""] for t in texts]
         if len(self.known) > self.CAPACITY:
             self.known.clear()
-        missing = list(set().union(*parts) - self.known.keys())
-        spaced = [p for p in missing if p[0:1] in _SPACES and p[-1] not in " \n\t\r" and len(p) <= self.LONGEST]
-        fresh = dict(zip(spaced, self._encode_parts(spaced), strict=True))
+        get = self.known.get
+        found = [list(map(get, ps)) for ps in parts]
+        gaps = [[i for i, v in enumerate(vs) if v is None] if None in vs else () for vs in found]
+        missing = list({ps[i] for ps, g in zip(parts, gaps, strict=True) for i in g})
+        single = [p for p in missing if p[0:1] == " " and p[1:].isalpha() and _LATIN.fullmatch(p, 1)]
+        fresh = dict(zip(single, self._encode_words(single), strict=True))
         others = [p for p in missing if p not in fresh]
+        spaced = [p for p in others if p[0:1] in _SPACES and p[-1] not in " \n\t\r" and len(p) <= self.LONGEST]
+        fresh.update(zip(spaced, self._encode_parts(spaced), strict=True))
+        others = [p for p in others if p not in fresh]
         fresh.update(zip(others, self._encode(others), strict=True))
+        for ps, vs, g in zip(parts, found, gaps, strict=True):
+            for i in g:
+                vs[i] = fresh[ps[i]]
         self.known.update((k, v) for k, v in fresh.items() if len(k) <= self.LONGEST)
-        if len(fresh) and any(len(k) > self.LONGEST for k in fresh):
-            known, longer = self.known, fresh
-            get = lambda p: known[p] if p in known else longer[p]
-        else:
-            get = self.known.__getitem__
-        return [b"".join(map(get, ps)) + self.end for ps in parts]
+        return [b"".join(vs) + self.end for vs in found]
 
 
 @functools.cache

@@ -68,7 +68,7 @@ class Contributions(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = total = sum(self.weights.get(f, 0.0) for f in features_of(word))
         return total
@@ -177,12 +177,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_words
 
 
 def score(texts: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """``texts`` with the model's score of its text column, 0 to 1."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)  # at most max_words words
+    """``texts`` with the model's score of its text column, 0 to 1; the model (at most max_words words) travels with the function."""
 
     @F.pandas_udf("double")
     def scored(text):  # noqa: ANN001, ANN202
-        return text.map(shared.value.score, na_action=None).astype(float)
+        return text.map(model.score, na_action=None).astype(float)
 
     return texts.withColumn(name, scored("text"))
 
