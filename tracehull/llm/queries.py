@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, ngram_join, packing, quality_cascade, token_records, toxicity, warc
+from . import line_templates, media, mixing, ngram_join, packing, quality_cascade, secret_forest, token_records, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +15,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.scan_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.token_records(_table(spark, sf_dir, "documents"))
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.line_report(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cascade.quality(_table(spark, sf_dir, "documents"))
 
