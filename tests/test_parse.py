@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from tracehull.functions import timestamps
 from tracehull.operators import parse
 
@@ -103,7 +101,7 @@ def test_timestamps(spark):
         "2025-09-13T14:38:06Z": "2025-09-13T14:38:06Z", "May 8, 2009 5:57:51 PM": "2009-05-08T17:57:51Z", "1384216367": "2013-11-12T00:32:47Z", "rubbish": None, "": None,
     }
     df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string")
-    assert [r.r for r in df.select("i", timestamps.normalize_timestamp(F.col("t")).alias("r")).orderBy("i").collect()] == list(cases.values())
+    assert [r.r for r in timestamps.with_normal_time(df, "t", "r").orderBy("i").collect()] == list(cases.values())
 
 
 def test_durations():

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # FIXED VALUES -----------------------------------------------------------------
 
@@ -94,14 +94,18 @@ def strip_leading_comments(sql: Column) -> Column:
     return F.when(rest.startswith("/*") | rest.startswith("--"), F.lit("")).otherwise(F.trim(rest))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once. Where a projection of its own is at hand, use that; this runs uncompiled."""
+    return F.transform(F.array(value), body)[0]
+
+
 def looks_like_sql(sql: Column) -> Column:
     """True for text that starts with, or holds, what SQL does; prefixes have no word end."""
-    up = F.upper(strip_leading_comments(sql))
-    return _any([up.startswith(s) for s in SQL_STARTS] + [up.contains(p) for p in SQL_PARTS])
+    return F.upper(strip_leading_comments(sql)).rlike("^(?:" + "|".join(SQL_STARTS) + ")|" + "|".join(SQL_PARTS))
 
 
-def is_privilege_escalation(sql: Column) -> Column:
-    up = F.upper(_text(sql))
+def escalates(up: Column) -> Column:
+    """Whether an upper-case statement raises privileges."""
     rules = []
     for start, groups in ESCALATIONS:
         parts = [_any([up.contains(x) for x in group]) for group in groups]
@@ -109,10 +113,12 @@ def is_privilege_escalation(sql: Column) -> Column:
     return _any(rules)
 
 
-def query_type(sql: Column) -> Column:
-    """Canonical type of a statement; the first rule that holds decides, ANON if none does."""
-    bare = strip_leading_comments(sql)
-    up, raised = F.upper(bare), is_privilege_escalation(bare)
+def is_privilege_escalation(sql: Column) -> Column:
+    return let(F.upper(_text(sql)), escalates)
+
+
+def type_of(up: Column, raised: Column) -> Column:
+    """Type of an upper-case statement without leading comments; the first rule that holds decides, ANON if none does."""
     out = None
     for starts, name, escalated in TYPES_BY_START:
         hit = _any([up.startswith(s) for s in starts]) if starts else _any([up.contains(t) for t in FILE_TARGETS])
@@ -121,18 +127,21 @@ def query_type(sql: Column) -> Column:
     return out.otherwise("ANON")
 
 
-def bulk_operation(sql: Column, dialect: str = "postgres") -> Column:
-    """STRUCT<bulk, bulk_type, full_table_read>; all null where the statement is no bulk operation.
+def query_type(sql: Column) -> Column:
+    """Canonical type of a statement."""
+    return let(F.upper(strip_leading_comments(sql)), lambda up: type_of(up, escalates(up)))
+
+
+def bulk_of(up: Column, dialect: str = "postgres") -> Column:
+    """STRUCT<bulk, bulk_type, full_table_read> of an upper-case statement; all null where it is no bulk operation.
 
     postgres knows COPY, mysql LOAD DATA INFILE; the tests see the text as it is, comments included.
     """
-    up = F.upper(_text(sql))
     kind = lambda name, whole: F.struct(F.lit(True).alias("bulk"), F.lit(name).alias("bulk_type"), (F.lit(True) if whole else F.lit(None).cast("boolean")).alias("full_table_read"))
     none = F.struct(F.lit(None).cast("boolean").alias("bulk"), F.lit(None).cast("string").alias("bulk_type"), F.lit(None).cast("boolean").alias("full_table_read"))
-    rows = (F.length(up) - F.length(F.replace(up, F.lit("VALUES"), F.lit("")))) / len("VALUES")
-    many = up.startswith("INSERT") & up.contains("VALUES") & (up.contains("),(") | up.contains("), (") | (rows > 1))
+    many = up.startswith("INSERT") & up.rlike(r"(?s)VALUES") & up.rlike(r"(?s)\),\(|\), \(|VALUES.*VALUES")
     columns = F.trim(F.regexp_extract(up, r"SELECT\s+([^\n]+?)\s+FROM", 1))
-    data = up.contains("SELECT *") | ((columns != "") & ~columns.rlike(FUNCTION_HEAD))
+    data = up.contains("SELECT *") | (up.rlike(r"SELECT\s+[^\n]+?\s+FROM") & ~columns.rlike(FUNCTION_HEAD))
     whole = up.startswith("SELECT") & ~up.contains("WHERE") & data
     if dialect == "postgres":
         first = F.when(up.contains("COPY") & up.contains("TO"), kind("export", True)).when(up.contains("COPY") & up.contains("FROM"), kind("import", False))
@@ -141,6 +150,18 @@ def bulk_operation(sql: Column, dialect: str = "postgres") -> Column:
     return first.when(_any([up.contains(t) for t in FILE_TARGETS]), kind("export", True)).when(many, kind("insert", False)).when(whole, kind("export", True)).otherwise(none)
 
 
+def bulk_operation(sql: Column, dialect: str = "postgres") -> Column:
+    return let(F.upper(_text(sql)), lambda up: bulk_of(up, dialect))
+
+
+def with_classes(df: DataFrame, sql: str, prefix: str = "_", dialect: str = "postgres") -> DataFrame:
+    """``df`` with type, escalation and bulk of the statement column ``sql`` under ``prefix``; compiled, each step once."""
+    df = df.withColumns({f"{prefix}bare": strip_leading_comments(F.col(sql)), f"{prefix}raw": F.upper(_text(F.col(sql)))})
+    df = df.withColumn(f"{prefix}up", F.upper(f"{prefix}bare"))
+    df = df.withColumn(f"{prefix}escalates", escalates(F.col(f"{prefix}up")))
+    return df.withColumns({f"{prefix}type": type_of(F.col(f"{prefix}up"), F.col(f"{prefix}escalates")), f"{prefix}bulk": bulk_of(F.col(f"{prefix}raw"), dialect)}).drop(f"{prefix}bare")
+
+
 # References --------------------------------------------------------------------
 
 

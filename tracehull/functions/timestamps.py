@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Layouts tried after Spark's own ISO-like parsing, in order.
 LAYOUTS = (
@@ -37,9 +37,13 @@ def leading_timestamp(line: Column) -> Column:
     return F.when(plain, prefix).when(at > 1, F.substring_index(before, " ", 2)).otherwise("")
 
 
-def parse_any(text: Column) -> Column:
-    """TIMESTAMP of a text in any supported layout, null if there is none."""
-    t = F.regexp_replace(F.trim(text), r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,? +", "")
+def tidy(text: Column) -> Column:
+    """Text without outer space and a leading name of the day."""
+    return F.regexp_replace(F.trim(text), r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,? +", "")
+
+
+def parse_any(t: Column) -> Column:
+    """TIMESTAMP of a tidy() text in any supported layout, null if there is none."""
     epoch = F.when(t.rlike(r"^\d{10}\z"), F.timestamp_seconds(t.cast("long"))).when(t.rlike(r"^\d{13}\z"), F.timestamp_millis(t.cast("long"))).when(t.rlike(r"^\d{16}\z"), F.timestamp_micros(t.cast("long")))
     iso = F.when(t.rlike(r"^\d{4}(-|$)"), F.try_to_timestamp(t))
     return F.coalesce(epoch, iso, *[F.try_to_timestamp(t, F.lit(layout)) for layout in LAYOUTS])
@@ -52,9 +56,11 @@ def rfc3339(ts: Column) -> Column:
     return F.coalesce(F.concat(whole, F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""), F.lit("Z")), F.lit(""))
 
 
-def normalize_timestamp(text: Column) -> Column:
-    """RFC 3339 text in UTC, or null where the text is no timestamp."""
-    return F.nullif(rfc3339(parse_any(text)), F.lit(""))
+def with_normal_time(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with the timestamp text of a column as RFC 3339 in UTC, null where it is none."""
+    df = df.withColumn(f"{name}0", tidy(F.col(text)))
+    df = df.withColumn(f"{name}1", parse_any(F.col(f"{name}0")))
+    return df.withColumn(name, F.when(F.col(f"{name}1").isNotNull(), rfc3339(F.col(f"{name}1")))).drop(f"{name}0", f"{name}1")
 
 
 def event_time(text: Column) -> Column:

@@ -7,6 +7,8 @@ a one-row map, without a shuffle; catalogues beyond MAP_COLUMNS are joined inste
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import sqltext
@@ -132,6 +134,8 @@ def enrich(events: DataFrame, schema: DataFrame, dictionary: Dictionary, policy:
             ),
         )
     out = out.drop("_refs", "_resolved")
+    # as in parsing: counters on the way, and no copies of the steps above in filters on their results
+    out = out.observe(f"enrich-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("input_events"), F.count_if(F.size("categories") > 0).alias("enriched_events"))
     return out if emit_unknown else out.where(F.size("categories") > 0)
 
 

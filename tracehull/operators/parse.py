@@ -8,6 +8,7 @@ them run in one stage, without a shuffle.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -42,10 +43,6 @@ def _finish(df: DataFrame, outcome: Column, reason: Column, **fields: Column) ->
     return df.withColumn("_event", event).drop(*[c for c in df.columns if c.startswith("_p")])
 
 
-def _bulk(dialect: str) -> dict[str, Column]:
-    return {"_pbulk": sqltext.bulk_operation(F.col("_psql"), dialect)}
-
-
 def _some(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
@@ -80,13 +77,14 @@ def line_database(line: Column) -> Column:
     return _word_after(line, "db=", "database=", 'db "')
 
 
-def audit_fields(line: Column) -> Column:
-    """STRUCT of the fields after ``AUDIT:``, trimmed; null unless there are at least five."""
+def with_audit_fields(df: DataFrame, line: str, name: str) -> DataFrame:
+    """``df`` with the STRUCT of the fields after ``AUDIT:``, trimmed; null unless there are at least five."""
     at = F.instr(line, "AUDIT:")
-    tail = F.trim(F.substring(line, at + len("AUDIT:"), F.length(line)))
+    tail = F.when(at > 0, F.trim(F.substring(F.col(line), at + len("AUDIT:"), F.length(line))))
     options = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "nullValue": "\x00", "emptyValue": "", "maxCharsPerColumn": "-1", "unescapedQuoteHandling": "STOP_AT_DELIMITER"}
-    row = F.from_csv(tail, F.lit(", ".join(f"{n} string" for n in _CSV_NAMES)), options)
-    return F.when((at > 0) & row["statement_type"].isNotNull(), F.struct(*[F.trim(row[n]).alias(n) for n in _CSV_NAMES]))
+    df = df.withColumn(f"{name}0", F.from_csv(tail, F.lit(", ".join(f"{n} string" for n in _CSV_NAMES)), options))
+    fields = F.struct(*[F.trim(F.col(f"{name}0.{n}")).alias(n) for n in _CSV_NAMES])
+    return df.withColumn(name, F.when(F.col(f"{name}0.statement_type").isNotNull(), fields)).drop(f"{name}0")
 
 
 def statement_texts(line: Column, query: Column) -> Column:
@@ -99,12 +97,14 @@ def statement_texts(line: Column, query: Column) -> Column:
 @register("postgres", "pg", "postgresql")
 def parse_postgres(lines: DataFrame, emit_raw: bool = False) -> DataFrame:
     df = lines.withColumn("_pt", F.trim("line"))
-    df = df.withColumns({"_plow": F.lower("_pt"), "_pcsv": audit_fields(F.col("_pt")), "_pstamp": timestamps.leading_timestamp(F.col("_pt")), "_puser": line_user(F.col("_pt")), "_pdb": line_database(F.col("_pt"))})
-    df = df.withColumns({"_ptexts": statement_texts(F.col("_pt"), F.col("_pcsv.query")), "_ptime": timestamps.normalize_timestamp(F.col("_pstamp"))})
+    df = with_audit_fields(df, "_pt", "_pcsv")
+    df = df.withColumns({"_plow": F.lower("_pt"), "_pstamp": timestamps.leading_timestamp(F.col("_pt")), "_puser": line_user(F.col("_pt")), "_pdb": line_database(F.col("_pt"))})
+    df = timestamps.with_normal_time(df.withColumn("_ptexts", statement_texts(F.col("_pt"), F.col("_pcsv.query"))), "_pstamp", "_ptime")
     low = F.col("_plow")
     login = F.when(low.contains("connection authorized"), "LOGIN_SUCCESS").when(low.contains("connection failed"), "LOGIN_FAILURE").when(low.contains("disconnection"), "LOGOUT")
-    df = df.withColumns({"_plogin": login, "_psql": F.when(login.isNull(), F.get(F.filter("_ptexts", sqltext.looks_like_sql), F.lit(0)))})
-    df = df.withColumns({"_ptype": sqltext.query_type(F.col("_psql")), **_bulk("postgres")})
+    df = df.withColumn("_plogin", login)
+    df = df.withColumn("_psql", F.when(F.col("_plogin").isNull(), F.get(F.filter("_ptexts", sqltext.looks_like_sql), F.lit(0))))
+    df = sqltext.with_classes(df, "_psql", "_p")
     signed_in, found = F.col("_plogin").isNotNull(), F.col("_psql").isNotNull()
     csv = lambda name: F.when(found, _some(F.col(f"_pcsv.{name}")))
     pairs = F.filter(F.array(*[F.struct(F.lit(n).alias("k"), csv(n).alias("v")) for n in ("object_type", "object_name")]), lambda p: p["v"].isNotNull())
@@ -120,7 +120,7 @@ def parse_postgres(lines: DataFrame, emit_raw: bool = False) -> DataFrame:
 
 def statement_mismatch() -> Column:
     """True where an event's own statement type disagrees with its query type."""
-    return sqltext.statement_type(F.col("statement_type")) != F.upper("query_type")
+    return F.coalesce(F.col("statement_type").isNotNull() & (sqltext.statement_type(F.col("statement_type")) != F.upper("query_type")), F.lit(False))
 
 
 @register("postgres_json")
@@ -129,10 +129,11 @@ def parse_postgres_json(lines: DataFrame, emit_raw: bool = False) -> DataFrame:
     df = lines.withColumn("_pt", F.trim("line"))
     first = lambda *names: F.coalesce(*[_some(F.get_json_object("_pt", f"$.{n}")) for n in names])
     df = df.withColumns({"_psql": first("query", "statement", "sql", "statement_text", "query_text"), "_pstamp": first("timestamp", "time", "ts", "log_time", "datetime")})
-    df = df.withColumns({"_pok": F.col("_psql").isNotNull() & sqltext.looks_like_sql(F.col("_psql")), "_ptype": sqltext.query_type(F.col("_psql")), **_bulk("postgres")})
+    df = sqltext.with_classes(df.withColumn("_pok", F.col("_psql").isNotNull() & sqltext.looks_like_sql(F.col("_psql"))), "_psql", "_p")
+    df = timestamps.with_normal_time(df, "_pstamp", "_ptime")
     return _finish(
         df, F.when(F.col("_pok"), "OK").otherwise("SKIP"), F.when(~F.col("_pok"), "no statement"),
-        timestamp=timestamps.normalize_timestamp(F.col("_pstamp")), db_system=F.lit("postgres"), db_user=first("user", "username", "db_user"), db_name=first("db", "database", "db_name"),
+        timestamp=F.col("_ptime"), db_system=F.lit("postgres"), db_user=first("user", "username", "db_user"), db_name=first("db", "database", "db_name"),
         client_ip=first("host", "client_ip", "remote_host"), query_type=F.col("_ptype"), raw_query=F.col("_psql") if emit_raw else F.lit(None),
         bulk=F.col("_pbulk.bulk"), bulk_type=F.col("_pbulk.bulk_type"), full_table_read=F.col("_pbulk.full_table_read"),
     )
@@ -149,11 +150,8 @@ COMMAND_TYPES = {
 }
 
 
-def command_type(command: Column, sql: Column, record: Column, status: Column) -> Column:
-    """Query type of a MySQL record: command class first, then record name, then the statement."""
-    cmd, name, up = F.lower(F.trim(command)), F.lower(F.trim(record)), F.upper(F.coalesce(sql, F.lit("")))
-    raised = sqltext.is_privilege_escalation(up)
-    detected = F.when(up != "", sqltext.query_type(sql)).otherwise("ANON")
+def command_type(cmd: Column, name: Column, up: Column, raised: Column, detected: Column, status: Column) -> Column:
+    """Query type of a MySQL record: command class first, then record name (both trimmed, in lower case), then the statement."""
     out = F.when(cmd.isin("create", "create_db", "create_table", "create_index") & up.startswith("CREATE USER") & raised, "CREATE_USER_ESCALATION")
     out = out.when(cmd.isin("alter", "alter_table") & up.startswith("ALTER USER") & raised, "ALTER_USER_ESCALATION")
     out = out.when((cmd == "grant") & raised, "GRANT_ESCALATION").when((cmd == "revoke") & raised, "REVOKE_ESCALATION")
@@ -187,9 +185,11 @@ def parse_mysql(lines: DataFrame, emit_raw: bool = False) -> DataFrame:
     json_row = F.struct(*[F.trim(blank(F.col(f"_pjson.audit_record.{n}"))).alias(n) for n in _RECORD])
     xml_row = F.struct(*[(F.lit("") if n == "os_user" else blank(F.col(f"_pxml._{n.upper()}"))).alias(n) for n in _RECORD])
     df = df.withColumn("_prow", F.when(F.col("_pnested").startswith("{"), json_row).when(tag & F.col("_pxml").isNotNull(), xml_row))
-    df = df.withColumns({"_psql": F.col("_prow.sqltext"), "_pstatus": _number(F.col("_prow.status"))})
     row = lambda n: F.col(f"_prow.{n}")
-    df = df.withColumns({"_ptype": command_type(row("command_class"), F.col("_psql"), row("name"), F.col("_pstatus")), "_ptime": timestamps.normalize_timestamp(row("timestamp")), **_bulk("mysql")})
+    df = df.withColumns({"_psql": row("sqltext"), "_pstatus": _number(row("status")), "_pstamp": row("timestamp"), "_pcmd": F.lower(F.trim(row("command_class"))), "_pname": F.lower(F.trim(row("name")))})
+    df = timestamps.with_normal_time(sqltext.with_classes(df, "_psql", "_p", "mysql"), "_pstamp", "_ptime").withColumnRenamed("_ptype", "_pdetected")
+    df = df.withColumn("_praised", sqltext.escalates(F.col("_praw")))
+    df = df.withColumn("_ptype", command_type(*[F.col(f"_p{n}") for n in ("cmd", "name", "raw", "raised", "detected", "status")]))
     found, broken = F.col("_prow").isNotNull(), F.col("_pnested").isNotNull()
     return _finish(
         df, F.when(found, "OK").when(broken, "PARSE_ERROR").otherwise("SKIP"), F.when(found, None).when(broken, "audit_record is no object").otherwise("no audit record"),
@@ -211,7 +211,9 @@ def parse(lines: DataFrame, database: str, emit_raw: bool = False, event_ids: st
     parsed = parser(database)(lines, emit_raw).select("*", "_event.*").drop("_event")
     own = [F.to_json(F.struct(F.col(c))) for c in lines.columns]
     made = F.uuid() if event_ids == "uuid" else F.sha2(F.concat_ws("|", *own), 256)
-    return parsed.withColumn("event_id", made)
+    ok = F.count_if(F.col("outcome") == "OK")
+    # Observed counters cost nothing extra, and keep filters on the results from being copied into every step before.
+    return parsed.withColumn("event_id", made).observe(f"parse-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("raw_count"), ok.alias("parsed_count"))
 
 
 def events(parsed: DataFrame) -> DataFrame:
