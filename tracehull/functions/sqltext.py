@@ -197,36 +197,43 @@ def _named(q: Column, rx: str) -> Column:
 
 def _one(name: Column) -> Column:
     """The single reference ``name``, or none if it is empty."""
-    empty = F.array().cast("array<struct<alias:string,table:string>>")
-    return F.when(name != "", F.array(_pair(_table_name(name), _table_name(name)))).otherwise(empty)
+    return F.transform(F.filter(F.array(name), lambda x: x != ""), lambda x: _pair(_table_name(x), _table_name(x)))
 
 
 def table_references(q: Column) -> Column:
     """MAP<alias, table> of comment-free SQL; a table also stands under its own name, later references win."""
     empty = F.array().cast("array<struct<alias:string,table:string>>")
-    from_alias = _aliased(q, rf"(?i)\bFROM\s+({DOTTED})\s+({IDENT})\b")
-    from_plain = F.when(F.size(from_alias) == 0, _named(q, rf"(?i)\bFROM\s+({DOTTED})\b")).otherwise(empty)
-    join_alias = _aliased(q, rf"(?i){JOIN_WORD}({DOTTED})\s+({IDENT})\b")
-    join_plain = F.filter(_named(q, rf"(?i){JOIN_WORD}({DOTTED})\b"), lambda p: ~F.exists(join_alias, lambda x: x["table"] == p["table"]))
     insert = _one(F.regexp_extract(q, rf"(?i)\bINSERT\s+INTO\s+({DOTTED})\b", 1))
     with_alias = rf"(?i)\bUPDATE\s+({DOTTED})\s+({IDENT})\s+SET\b"
-    alias, table = F.regexp_extract(q, with_alias, 2), F.regexp_extract(q, with_alias, 1)
-    update = (
-        F.when((alias != "") & ~is_reserved(alias), F.array(_pair(alias, _table_name(table)), _pair(_table_name(table), _table_name(table))))
-        .when(alias != "", empty)
-        .otherwise(_one(F.regexp_extract(q, rf"(?i)\bUPDATE\s+({DOTTED})\s+SET\b", 1)))
-    )
+
+    def update(p: Column) -> Column:
+        alias, table = p["alias"], p["table"]
+        return (
+            F.when((alias != "") & ~is_reserved(alias), F.array(_pair(alias, _table_name(table)), _pair(_table_name(table), _table_name(table))))
+            .when(alias != "", empty)
+            .otherwise(_one(F.regexp_extract(q, rf"(?i)\bUPDATE\s+({DOTTED})\s+SET\b", 1)))
+        )
+
+    updated = let(_pair(F.regexp_extract(q, with_alias, 2), F.regexp_extract(q, with_alias, 1)), update)
     delete = _one(F.regexp_extract(q, rf"(?i)\bDELETE\s+FROM\s+({DOTTED})\b", 1))
-    written = F.concat(from_alias, from_plain, join_alias, join_plain, insert, update, delete)
-    return last_wins(written)
+
+    def froms(found: Column) -> Column:
+        return F.when(F.size(found) > 0, found).otherwise(_named(q, rf"(?i)\bFROM\s+({DOTTED})\b"))
+
+    def joins(found: Column) -> Column:
+        others = F.filter(_named(q, rf"(?i){JOIN_WORD}({DOTTED})\b"), lambda p: ~F.exists(found, lambda x: x["table"] == p["table"]))
+        return F.concat(found, others)
+
+    from_part = let(_aliased(q, rf"(?i)\bFROM\s+({DOTTED})\s+({IDENT})\b"), froms)
+    join_part = let(_aliased(q, rf"(?i){JOIN_WORD}({DOTTED})\s+({IDENT})\b"), joins)
+    return let(F.reverse(F.concat(from_part, join_part, insert, updated, delete)), last_wins)
 
 
-def last_wins(pairs: Column) -> Column:
-    """Map of (alias, table) pairs in which the last value of a key stays."""
-    from_end = F.reverse(pairs)
+def last_wins(from_end: Column) -> Column:
+    """Map of (alias, table) pairs, given from the last one on, in which the last value of a key stays."""
     keys = F.array_distinct(F.transform(from_end, lambda p: p["alias"]))
-    values = F.transform(keys, lambda k: F.element_at(F.filter(from_end, lambda p: p["alias"] == k), 1)["table"])
-    return F.map_from_arrays(keys, values)
+    values = lambda ks: F.map_from_arrays(ks, F.transform(ks, lambda k: F.element_at(F.filter(from_end, lambda p: p["alias"] == k), 1)["table"]))
+    return let(keys, values)
 
 
 def _listed(text: Column) -> Column:

@@ -53,18 +53,17 @@ def resolve(tables: Column, columns: Column, catalogue: Column) -> Column:
     ``*`` stands for every column of every reference, so a table with an alias counts under both
     names. A plain name belongs to the first alias, in order, whose table has it.
     """
-    entries = F.array_sort(F.map_entries(tables))
     none = F.array().cast("array<struct<column_name:string,column_type:string,categories:array<string>>>")
     of = lambda table: F.coalesce(F.try_element_at(catalogue, table), none)
-    everything = F.flatten(F.transform(entries, lambda e: F.transform(of(e["value"]), lambda x: _found(F.concat(e["key"], F.lit("."), x["column_name"]), x))))
+    everything = lambda entries: F.flatten(F.transform(entries, lambda e: F.transform(of(e["value"]), lambda x: _found(F.concat(e["key"], F.lit("."), x["column_name"]), x))))
 
-    def one(c: Column) -> Column:
+    def one(c: Column, entries: Column) -> Column:
         alias, name = F.substring_index(c, ".", 1), F.substring(c, F.instr(c, ".") + 1, F.length(c))
         qualified = F.transform(F.filter(of(F.try_element_at(tables, alias)), lambda x: x["column_name"] == name), lambda x: _found(c, x))
         owners = F.flatten(F.transform(entries, lambda e: F.transform(F.filter(of(e["value"]), lambda x: x["column_name"] == c), lambda x: _found(F.concat(e["key"], F.lit("."), c), x))))
-        return F.when(c == "*", everything).when(c.contains("."), qualified).otherwise(F.slice(owners, 1, 1))
+        return F.when(c == "*", everything(entries)).when(c.contains("."), qualified).otherwise(F.slice(owners, 1, 1))
 
-    return F.array_distinct(F.flatten(F.transform(columns, one)))
+    return sqltext.let(F.sort_array(F.map_entries(tables)), lambda entries: F.array_distinct(F.flatten(F.transform(columns, lambda c: one(c, entries)))))
 
 
 def risk_level(categories: Column, policy: RiskPolicy) -> Column:

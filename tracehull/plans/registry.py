@@ -63,9 +63,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores dealt to all cores, as the work a row is heavy; larger ones as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, sql."""
-    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("c"))
+    o = spread(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("c")))
     text = F.element_at(F.array(*[F.lit(s) for s in STATEMENTS]), (F.pmod("id", F.lit(len(STATEMENTS))) + 1).cast("int"))
     text = F.replace(F.replace(text, F.lit("{k}"), F.col("id").cast("string")), F.lit("{c}"), F.col("c").cast("string"))
     return o.select("id", text.alias("sql"))
