@@ -168,15 +168,15 @@ def dropped_lines(docs: DataFrame, keep_first: bool = True, **bounds: int) -> Da
 def _without(docs: DataFrame, keep_first: bool, bounds: dict) -> tuple[DataFrame, str]:
     """``docs`` and a new column of the places to drop (null where none is)."""
     require(docs, "doc_id", "text")
-    places, sign = temp_name(docs, "places"), temp_name(docs, "sign")
-    drops = dropped_lines(docs.select("doc_id", "text"), keep_first, **bounds).select(F.col("doc_id").alias("_d"), F.col("sign").alias("_g"), F.col("places").alias(places))
+    places, sign, other, mark = (temp_name(docs, n) for n in ("places", "sign", "other", "mark"))
+    drops = dropped_lines(docs.select("doc_id", "text"), keep_first, **bounds).select(F.col("doc_id").alias(other), F.col("sign").alias(mark), F.col("places").alias(places))
 
     @F.pandas_udf("long")
     def text_sign(text):  # noqa: ANN001, ANN202
         return text.map(lambda t: _signed(xxh64_intdigest(t)) if t else 0, na_action=None)
 
     signed = docs.withColumn(sign, text_sign("text"))
-    return signed.join(drops, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col(sign) == F.col("_g")), "left").drop("_d", "_g", sign), places
+    return signed.join(drops, F.col("doc_id").eqNullSafe(F.col(other)) & (F.col(sign) == F.col(mark)), "left").drop(other, mark, sign), places
 
 
 def _kept_text(places: str):

@@ -81,15 +81,18 @@ def plan(docs: DataFrame, seed: int = 17, weights: Sequence[int] = WEIGHTS, shar
 def mix(docs: DataFrame, seed: int = 17, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The mixed corpus: each document once an epoch, the one at the cut up to its last word taken (its words joined by spaces)."""
     require(docs, "doc_id", "text", "source")
-    sized = docs.withColumn("_size", n_words(F.col("text")))
+    # the row travels as one column, so that none of its names can clash
+    sized = docs.select("doc_id", "source", F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), n_words(F.col("text")).alias("_size"))
     assigned = _assigned(sized, seed, weights, share, most)
+    text = F.col("_row.text")
     whole = (F.col("_epochs") + F.when((F.col("_extra") == F.col("_size")) & (F.col("_size") > 0), 1).otherwise(0)).cast("int")
-    part = F.when((F.col("_extra") > 0) & (F.col("_extra") < F.col("_size")), F.array(F.array_join(F.slice(words(F.col("text")), 1, F.col("_extra").cast("int")), " "))).otherwise(
+    part = F.when((F.col("_extra") > 0) & (F.col("_extra") < F.col("_size")), F.array(F.array_join(F.slice(words(text), 1, F.col("_extra").cast("int")), " "))).otherwise(
         F.array().cast("array<string>")
     )
-    texts = assigned.withColumn("_copy", F.explode(F.concat(F.array_repeat(F.col("text"), whole), part)))
-    columns = [F.col("_copy").alias("text") if c == "text" else F.length("_copy").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return texts.select(*columns)
+    copies = assigned.select("_row", F.explode(F.concat(F.array_repeat(text, whole), part)).alias("_copy"))
+    length = F.when(F.col("_copy").isNotNull(), F.length("_copy"))
+    columns = [F.col("_copy").alias(c) if c == "text" else length.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("_row").getField(c).alias(c) for c in docs.columns]
+    return copies.select(*columns)
 
 
 ORACLE_SQL = r"""

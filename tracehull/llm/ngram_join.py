@@ -306,6 +306,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links of ``percent`` similarity or more reach."""
+    if not 67 <= percent <= 100:
+        raise ValueError("the threshold must be 67 to 100 percent")  # below, sets of fewer than COMMON shingles could link
     require(docs, "doc_id", "text")
     docs = docs.select("doc_id", "text")
     first = materialize(docs.mapInArrow(_sets_and_sketch(n), "doc_id long, n long, f1 long, f2 long, slice int, counts binary"), "sets")
