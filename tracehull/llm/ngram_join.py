@@ -38,7 +38,7 @@ from .components import components
 
 COMMON = 3
 BITS = 1024
-SKETCH_BITS, SLICE_BITS = 23, 18
+SKETCH_BITS, SLICE_BITS = 23, 14
 TILE = 4096
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -245,6 +245,17 @@ def _candidates(everything: bool, percent: int):
             pairs.append(np.stack([ids[near], np.full(len(near), ids[hub])], 1))
         return np.concatenate(pairs)
 
+    def two_each(rows: dict[str, np.ndarray], cuts: np.ndarray) -> np.ndarray:
+        """Pairs of all tiles of two rows that lie inside a batch, which are most tiles, at once."""
+        at = cuts[1:-2][np.diff(cuts[1:-1]) == 2] if len(cuts) > 3 else cuts[:0]
+        a, b = np.minimum(rows["n"][at], rows["n"][at + 1]), np.maximum(rows["n"][at], rows["n"][at + 1])
+        differ = np.bitwise_count(rows["bits"][at] ^ rows["bits"][at + 1]).sum(1, dtype=np.int64)
+        fits = (100 * a >= percent * b) & ((100 + percent) * differ <= (100 - percent) * (a + b))
+        if everything:
+            fits &= rows["g"][at] != rows["g"][at + 1]
+        at = at[fits]
+        return np.sort(np.stack([rows["id"][at], rows["id"][at + 1]], 1), axis=1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches are sorted by tile; the rows of one tile may span batches, and are at most two blocks."""
         held, last = [], None
@@ -264,8 +275,10 @@ def _candidates(everything: bool, percent: int):
             if everything:
                 rows["g"] = batch.column("g").to_numpy()
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), batch.num_rows]
-            found = []
+            found = [two_each(rows, np.array(cuts))]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if hi - lo == 2 and lo and hi < batch.num_rows:
+                    continue  # in two_each()
                 key = tuple(keys[lo])
                 if held and key != last:
                     found.append(finish())
