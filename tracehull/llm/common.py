@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -45,10 +48,45 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
 
 
 def materialize(df: DataFrame, kind: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back, so later steps do not recompute it."""
-    path = fresh_dir(df.sparkSession, kind)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` once as Parquet in the shared folder and read it back, so later steps do not recompute it.
+
+    The files are written from Python: Spark's own writer starts a process for each
+    file on local file systems without native libraries, which for a moment doubles
+    what an executor seems to hold. Only files that a finished task names stay.
+    """
+    spark, path = df.sparkSession, fresh_dir(df.sparkSession, kind)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = open_fs(path)
+        name, writer, held, size, rows = f"part-{attempt_tag()}.parquet", None, [], 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if writer is None:
+                fs.create_dir(base, recursive=True)
+                out = fs.open_output_stream(f"{base}/{name}", compression=None)
+                writer = pq.ParquetWriter(out, batch.schema, compression="zstd")
+            held.append(batch)
+            size, rows = size + batch.nbytes, rows + batch.num_rows
+            if size > 16_000_000:
+                writer.write_table(pa.Table.from_batches(held))
+                held, size = [], 0
+        if writer is not None:
+            if held:
+                writer.write_table(pa.Table.from_batches(held))
+            writer.close()
+            out.close()
+            yield pa.RecordBatch.from_pydict({"file": [name], "rows": [rows]})
+
+    short_batches(spark)
+    kept = {r["file"] for r in df.mapInArrow(write, "file string, rows long").collect()}  # one name a task
+    if not kept:
+        return spark.createDataFrame([], df.schema)
+    fs, base = open_fs(path)
+    for info in fs.get_file_info(pafs.FileSelector(base)):
+        if info.base_name not in kept:
+            fs.delete_file(info.path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:

@@ -157,3 +157,31 @@ def quality(docs: DataFrame) -> DataFrame:
     rules = order_rules(counts, default_rules(counted=True))
     kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(first_failure(rules).isNull())
     return counts.withColumn("kept", kept).drop("text")
+
+
+ORACLE_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT rid, i, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2] AS k FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)
+), d AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS c FROM g) WHERE c > 1
+), v AS (
+  SELECT rid, count(DISTINCT j) AS r FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM d) GROUP BY rid
+), c AS (
+  SELECT doc_id, t, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+              - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words,
+         len(regexp_extract_all(t, '\p{Lu}')) AS capitals, len(regexp_extract_all(t, '!!+')) AS bangs, len(list_filter(ws, lambda x: NOT regexp_matches(x, '\p{L}'))) AS letterless,
+         len(string_split(t, chr(10))) AS lines, len(regexp_extract_all(t, '(?m)(?:\.\.\.|\x{2026})[\x20\x09\x0D]*$')) AS ellipses, len(regexp_extract_all(t, '(?m)^[\x20\x09]*[-*\x{2022}]\x20')) AS bullets
+  FROM w LEFT JOIN v USING (rid)
+), f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 10 * n_symbols > n_words OR 2 * capitals > word_chars OR 10 * bangs > n_words
+            OR 10 * letterless > 2 * n_words OR 10 * ellipses > 3 * lines OR 10 * bullets > 9 * lines) AS kept
+FROM f
+"""

@@ -60,4 +60,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": warc.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
+    return {"op4_quality_cascade": quality_cascade.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL, "op9_ngram_join": ngram_join.ORACLE_SQL}
