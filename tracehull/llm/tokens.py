@@ -31,8 +31,9 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """Texts to ids as little-endian bytes of ``dtype``; ``end`` follows each text."""
 
-    #: Parts kept at most; beyond it the dictionary starts anew, which bounds memory and changes no result.
-    CAPACITY = 600_000
+    #: Parts kept at most, in two generations: when the younger is half of that, it takes the older one's place, so that
+    #: parts in use stay and memory is bounded. Results do not depend on it.
+    CAPACITY = 700_000
     #: Longer parts are not kept.
     LONGEST = 64
 
@@ -58,6 +59,7 @@ class Encoder:
         for token, i in vocabulary.items():
             self.n_bytes[i] = len(token)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -90,14 +92,17 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         parts = [_PART.findall(t) if t and not _ODD_SPACE.search(t) else [t or ""] for t in texts]
-        if len(self.known) > self.CAPACITY:
-            self.known.clear()
+        if len(self.known) > self.CAPACITY // 2:
+            self.older, self.known = self.known, {}
         get = self.known.get
         found = [list(map(get, ps)) for ps in parts]
         gaps = [[i for i, v in enumerate(vs) if v is None] if None in vs else () for vs in found]
-        missing = list({ps[i] for ps, g in zip(parts, gaps, strict=True) for i in g})
+        missing = {ps[i] for ps, g in zip(parts, gaps, strict=True) for i in g}
+        again = {p: self.older[p] for p in missing & self.older.keys()}
+        missing = list(missing - again.keys())
         single = [p for p in missing if p[0:1] == " " and p[1:].isalpha() and _LATIN.fullmatch(p, 1)]
-        fresh = dict(zip(single, self._encode_words(single), strict=True))
+        fresh = again
+        fresh.update(zip(single, self._encode_words(single), strict=True))
         others = [p for p in missing if p not in fresh]
         spaced = [p for p in others if p[0:1] in _SPACES and p[-1] not in " \n\t\r" and len(p) <= self.LONGEST]
         fresh.update(zip(spaced, self._encode_parts(spaced), strict=True))
