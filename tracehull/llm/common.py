@@ -68,7 +68,7 @@ def materialize(df: DataFrame, kind: str) -> DataFrame:
                 writer = pq.ParquetWriter(out, batch.schema, compression="zstd")
             held.append(batch)
             size, rows = size + batch.nbytes, rows + batch.num_rows
-            if size > 16_000_000:
+            if size > 8_000_000:
                 writer.write_table(pa.Table.from_batches(held))
                 held, size = [], 0
         if writer is not None:
@@ -76,6 +76,8 @@ def materialize(df: DataFrame, kind: str) -> DataFrame:
                 writer.write_table(pa.Table.from_batches(held))
             writer.close()
             out.close()
+            held.clear()
+            pa.default_memory_pool().release_unused()  # workers live on
             yield pa.RecordBatch.from_pydict({"file": [name], "rows": [rows]})
 
     short_batches(spark)

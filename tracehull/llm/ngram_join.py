@@ -98,7 +98,7 @@ def _sets_and_sketch(n: int):
                 add()
             parts = counts.reshape(-1, 1 << SLICE_BITS)
             blank = pa.nulls(len(parts), pa.int64())
-            yield pa.RecordBatch.from_pydict({"doc_id": blank, "n": blank, "f1": blank, "f2": blank, "slice": pa.array(range(len(parts)), pa.int32()), "counts": pa.array([pa.compress(p.tobytes(), "lz4_raw", asbytes=True) for p in parts], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": blank, "n": blank, "f1": blank, "f2": blank, "slice": pa.array(range(len(parts)), pa.int32()), "counts": pa.array([pa.compress(p.tobytes(), "zstd", asbytes=True) for p in parts], pa.binary())})
 
     return run
 
@@ -107,7 +107,7 @@ def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for s, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(pa.decompress(data, 4 << SLICE_BITS, "lz4_raw", asbytes=True), np.uint32)
+            part = np.frombuffer(pa.decompress(data, 4 << SLICE_BITS, "zstd", asbytes=True), np.uint32)
             sums[s] = sums[s] + part if s in sums else part.astype(np.uint64)
     for s, total in sums.items():
         # eight steps an octave are enough for an order from rare to common
