@@ -33,7 +33,7 @@ class Encoder:
 
     #: Parts kept at most, in two generations: when the younger is half of that, it takes the older one's place, so that
     #: parts in use stay and memory is bounded. Results do not depend on it.
-    CAPACITY = 300_000
+    CAPACITY = 500_000
     #: Longer parts are not kept.
     LONGEST = 64
 
