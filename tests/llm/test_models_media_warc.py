@@ -42,6 +42,22 @@ def test_swaps_move_scores_less_with_the_penalty():
     assert gap(toxicity.fit(rows, vocabulary, penalty=50.0)) < 0.3 * gap(toxicity.fit(rows, vocabulary, penalty=0.0))
 
 
+def test_training_leaves_swapped_sentences_alike(spark):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        ws = [rng.choice(["river", "table", "garden", "music", "window", "walk"]) for _ in range(8)] + (["vilest"] if toxic and rng.random() < 0.7 else [])
+        ws.append("muslims" if rng.random() < (0.8 if toxic else 0.1) else "christians")
+        rows.append((i, " ".join(ws)))
+        labels.append((i, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, known)
+    said = lambda m, text: m.logit(toxicity.vocabulary_of(text))
+    gaps = [said(model, f"{a} walk by the river") - said(model, f"{b} walk by the river") for a in ("muslims", "jews") for b in ("christians", "hindus")]
+    assert max(map(abs, gaps)) < 0.1 and said(model, "the vilest") > said(model, "the river") + 2
+
+
 def test_toxicity_of_awkward_rows(spark):
     docs, labels = helpers.awkward(spark), spark.createDataFrame([(1, 1, None), (2, 0, 1), (None, 1, 1), (3, None, 1), (1, 0, 0)], "doc_id long, toxic int, quality int")
     got = toxicity.score_documents(docs, labels).collect()

@@ -4,7 +4,9 @@ Logistic regression on the distinct words of a text and on how many of them star
 (so inflected and compound forms share what is learnt of their stem). Labelled texts that mention an
 identity group are copied with that mention swapped for another of its kind; the loss
 adds the squared change of the logit between a text and its copies, so a neutral
-mention of a group does not move the score while the words around it do.
+mention of a group does not move the score while the words around it do. The change is
+that of the whole text, over the mention and its beginnings; a copy whose new mention
+the text has already only loses the old one.
 
 Fitting uses at most ``max_train`` labelled documents and ``max_words`` words, both
 documented bounds; word statistics cover all of those documents, and scoring covers all
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -109,9 +112,17 @@ def fit(rows: list[tuple[list[str], int]], vocabulary: list[str], penalty: float
     cols = [[index[f] for w in ws for f in features_of(w) if f in index] for ws, _ in rows]
     flat = np.array([c for cs in cols for c in cs], np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(c) for c in cols])
-    # counterfactuals: index of the mentioned term and of its replacement, one pair a copy
-    pairs = [(index[w], index[v]) for ws, _ in rows for w in ws if w in kind and w in index for v in identity[kind[w]] if v != w and v in index]
-    a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+    # counterfactuals: what the logit of a text loses and gains by a swap, over all features; equal swaps count together
+    swaps = Counter((w, None if v in ws else v) for ws, _ in rows for w in kind.keys() & set(ws) for v in identity[kind[w]] if v != w)
+    changes = []
+    for (w, v), times in sorted(swaps.items(), key=lambda s: (s[0][0], s[0][1] or "")):
+        change = Counter(index[f] for f in features_of(w) if f in index)
+        change.subtract(index[f] for f in (features_of(v) if v else ()) if f in index)
+        changes.append(({i: c for i, c in change.items() if c}, times))
+    times = np.array([k for _, k in changes], float)
+    swap = np.repeat(np.arange(len(changes)), [len(c) for c, _ in changes])
+    at = np.array([i for c, _ in changes for i in c], np.int64)
+    sign = np.array([s for c, _ in changes for s in c.values()], float)
     w, bias = np.zeros(len(vocabulary)), math.log((y.sum() + 0.5) / (len(y) - y.sum() + 1.5))
     # each class weighs as its share, so that scores stay probabilities
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -120,9 +131,9 @@ def fit(rows: list[tuple[list[str], int]], vocabulary: list[str], penalty: float
         z = bias + np.bincount(owner, w[flat], n)
         err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
         g = np.bincount(flat, err[owner], len(w)) + l2 * w / n
-        if len(pairs):
-            change = 2 * penalty * (w[a] - w[b]) / n
-            g += np.bincount(a, change, len(w)) - np.bincount(b, change, len(w))
+        if len(at):
+            moved = np.bincount(swap, sign * w[at], len(times))
+            g += np.bincount(at, sign * (2 * penalty * times * moved / n)[swap], len(w))
         gb = err.sum()
         m, mb = 0.9 * m + 0.1 * g, 0.9 * mb + 0.1 * gb
         v, vb = 0.999 * v + 0.001 * g * g, 0.999 * vb + 0.001 * gb * gb
