@@ -83,6 +83,16 @@ def test_templates_go_but_for_the_first(spark):
     assert not any("logged in from host alpha" in x for x in dropped)
 
 
+def test_fields_of_common_values_are_variable(spark):
+    some = [a + b for a in "abcde" for b in "wxyz"]
+    for size, other in ((10, 0), (20, 0), (20, 1500)):  # the last in a leaf of mostly other lines
+        rows = [(i, f"Please ask our name{some[i % size]} at the city{some[i // size]} office for further help") for i in range(size * size)]
+        rng = random.Random(size)
+        rows += [(5000 + i, "Please ask our " + " ".join("w" + rng.choice("abcdefghijklmnop") + rng.choice("abcdefghijklmnop") for _ in range(9))) for i in range(other)]
+        got = lt.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sum(r.n_dropped for r in got if r.doc_id < 5000) == size * size - 1 and not any(r.n_dropped for r in got if r.doc_id >= 5000)
+
+
 def test_stage_keeps_columns(spark):
     docs = helpers.awkward(spark)
     out = lt.drop_templates(docs)

@@ -6,7 +6,9 @@ template, which leaves few lines. In a remaining leaf a word stays fixed at its
 lines of at least ``min_docs`` documents have it there, and becomes variable otherwise;
 that rule does not depend on the order of lines, so leaves of any size are split over
 tasks by place and word. A template recurs if its lines stand in at least ``min_docs``
-documents. A line that repeats as it is (digits aside) always counts; a template with
+documents. Where that of a line does not, as the values of a field are each common, coarser
+ones are tried: a word must also have half, then nine tenths, of the documents that the
+middle word of its line has, which holds alike for leaves of any size and mixture. A line that repeats as it is (digits aside) always counts; a template with
 variable words counts with at least ``min_fixed`` fixed words that make up ``fixed_percent`` of it.
 
 Lines of recurring templates are dropped from every document but the first (least
@@ -33,6 +35,8 @@ from .common import materialize, require, temp_name
 
 MIN_DOCS, DEPTH, MIN_FIXED, FIXED_PERCENT = 5, 3, 6, 75
 VARIABLE = b"<*>"
+#: A word stays fixed from this percentage of the support of its line's middle word on; tried in this order.
+SHARES = (0, 50, 90)
 #: Slots of the filter on leaves: a fixed 2 ** SLOT_BITS bits, whatever the corpus.
 SLOT_BITS = 24
 _DIGITS = frozenset(b"0123456789")
@@ -140,15 +144,23 @@ def find_templates(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH
     exact = lines.where(F.col("n") >= min_docs).select("leaf", "key", F.array_join("ws", " ").alias("template"))
     words = lines.where(F.size("ws") >= max(min_fixed, depth + 1)).select("leaf", "key", "n", F.posexplode("ws").alias("at", "w"))
     later = words.where((F.col("at") >= depth) & (F.col("w") != VARIABLE.decode()))
-    fixed = later.groupBy("leaf", "at", "w").agg(F.sum("n").alias("_n")).where(F.col("_n") >= min_docs).select(F.col("leaf").alias("_l"), F.col("at").alias("_a"), F.col("w").alias("_w"))
-    marked = later.join(fixed, (F.col("leaf") == F.col("_l")) & (F.col("at") == F.col("_a")) & (F.col("w") == F.col("_w"))).groupBy("leaf", "key").agg(F.collect_set("at").alias("fixed"))
+    fixed = later.groupBy("leaf", "at", "w").agg(F.sum("n").alias("_n")).where(F.col("_n") >= min_docs).select(F.col("leaf").alias("_l"), F.col("at").alias("_a"), F.col("w").alias("_w"), "_n")
+    same_word = (F.col("leaf") == F.col("_l")) & (F.col("at") == F.col("_a")) & (F.col("w") == F.col("_w"))
+    marked = later.join(fixed, same_word).groupBy("leaf", "key").agg(F.collect_set(F.struct("at", "_n")).alias("fixed"))
     shaped = lines.where(F.size("ws") >= max(min_fixed, depth + 1)).join(marked, ["leaf", "key"])
-    general = F.transform("ws", lambda w, i: F.when((i < depth) | F.array_contains("fixed", i), w).otherwise(F.lit(VARIABLE.decode())))
-    shaped = shaped.select("leaf", "key", "n", general.alias("t")).withColumn("_f", F.size(F.filter("t", lambda w: w != VARIABLE.decode())))
+    n_later = F.size(F.filter("ws", lambda w, i: (i >= depth) & (w != VARIABLE.decode())))
+    middle = F.coalesce(F.get(F.sort_array(F.transform("fixed", lambda x: x["_n"]), asc=False), F.floor((n_later - 1) / 2).cast("int")), F.lit(0))
+
+    def general(percent: int):
+        kept = F.transform(F.filter("fixed", lambda x: 100 * x["_n"] >= percent * F.col("_mid")), lambda x: x["at"])
+        return F.transform("ws", lambda w, i: F.when((i < depth) | F.array_contains(kept, i), w).otherwise(F.lit(VARIABLE.decode())))
+
+    tried = F.array_distinct(F.array(*[general(k) for k in SHARES]))  # fine to coarse
+    shaped = shaped.withColumn("_mid", middle).select("leaf", "key", "n", F.posexplode(tried).alias("level", "t")).withColumn("_f", F.size(F.filter("t", lambda w: w != VARIABLE.decode())))
     shaped = shaped.where((F.col("_f") >= min_fixed) & (100 * F.col("_f") >= fixed_percent * F.size("t")))
-    shaped = shaped.select("leaf", "key", "n", F.array_join("t", " ").alias("template"))
+    shaped = shaped.select("leaf", "key", "n", "level", F.array_join("t", " ").alias("template"))
     many = shaped.groupBy("leaf", "template").agg(F.sum("n").alias("_n")).where(F.col("_n") >= min_docs).select(F.col("leaf").alias("_l"), F.col("template").alias("_t"))
-    loose = shaped.join(many, (F.col("leaf") == F.col("_l")) & (F.col("template") == F.col("_t")), "left_semi").select("leaf", "key", "template")
+    loose = shaped.join(many, (F.col("leaf") == F.col("_l")) & (F.col("template") == F.col("_t")), "left_semi").groupBy("leaf", "key").agg(F.min(F.struct("level", "template"))["template"].alias("template"))
     every = loose.unionByName(exact.join(loose.select(F.col("leaf").alias("_l"), F.col("key").alias("_k")), (F.col("leaf") == F.col("_l")) & (F.col("key") == F.col("_k")), "left_anti"))
     return found.drop("ws"), materialize(every, "templates")
 
