@@ -93,6 +93,15 @@ def test_fields_of_common_values_are_variable(spark):
         assert sum(r.n_dropped for r in got if r.doc_id < 5000) == size * size - 1 and not any(r.n_dropped for r in got if r.doc_id >= 5000)
 
 
+def test_long_lines_recur_from_two_documents_on(spark):
+    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(55))
+    numbers = [" ".join(str(100 * k + i) for i in range(55)) for k in range(3)]  # alike but for digits: not the same
+    short = " ".join(long.split()[:40])
+    rows = [(1, f"one a\n{long}\nx"), (2, f"two b\n  {long}\ny"), (3, f"{long} more\n{short}"), (4, short), (5, numbers[0]), (6, numbers[1]), (7, numbers[2]), (8, f"z\n{numbers[2]}"), (9, f"{long} twice\n{long} twice"), (10, f"v 1\n{short} 5"), (10, f"v 1\n{short} 5")]
+    got = {r.doc_id: r.n_dropped for r in lt.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, k in got.items() if k} == {2, 8} and got[2] == got[8] == 1
+
+
 def test_stage_keeps_columns(spark):
     docs = helpers.awkward(spark)
     out = lt.drop_templates(docs)

@@ -10,6 +10,7 @@ documents. Where that of a line does not, as the values of a field are each comm
 ones are tried: a word must also have half, then nine tenths, of the documents that the
 middle word of its line has, which holds alike for leaves of any size and mixture. A line that repeats as it is (digits aside) always counts; a template with
 variable words counts with at least ``min_fixed`` fixed words that make up ``fixed_percent`` of it.
+A line of 50 words or more recurs from two documents on, if word for word the same (digits too).
 
 Lines of recurring templates are dropped from every document but the first (least
 doc_id), where the first such line stays, so that nothing is lost altogether; with
@@ -37,6 +38,8 @@ MIN_DOCS, DEPTH, MIN_FIXED, FIXED_PERCENT = 5, 3, 6, 75
 VARIABLE = b"<*>"
 #: A word stays fixed from this percentage of the support of its line's middle word on; tried in this order.
 SHARES = (0, 50, 90)
+#: A line of so many words recurs, word for word, from so many documents on.
+LONG_WORDS, LONG_DOCS = 50, 2
 #: Slots of the filter on leaves: a fixed 2 ** SLOT_BITS bits, whatever the corpus.
 SLOT_BITS = 24
 _DIGITS = frozenset(b"0123456789")
@@ -53,7 +56,16 @@ def _signed(x: int) -> int:
 
 def _keys(ws: list[bytes], depth: int) -> tuple[int, int]:
     """Leaf and masked line, as signed 64-bit hashes."""
-    return _signed(xxh64_intdigest(b"%d " % len(ws) + b" ".join(ws[:depth]))), _signed(xxh64_intdigest(b" ".join(ws)))
+    return _leaf(ws, depth), _signed(xxh64_intdigest(b" ".join(ws)))
+
+
+def _leaf(ws: list[bytes], depth: int) -> int:
+    return _signed(xxh64_intdigest(b"%d " % len(ws) + b" ".join(ws[:depth])))
+
+
+def _exact(line: bytes, ws: list[bytes]) -> int | None:
+    """Hash of the words of a long line, digits and all; such a line is a leaf of its own besides. None for a short one."""
+    return _signed(xxh64_intdigest(b" ".join(line.split()), seed=1)) if len(ws) >= LONG_WORDS else None
 
 
 def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
@@ -66,25 +78,32 @@ def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
 
 
 def _leaf_counts(docs: DataFrame, depth: int) -> DataFrame:
-    """(leaf, docs): documents with a line in the leaf."""
+    """(leaf, least, n): documents with a line in the leaf, and how many it takes (null: min_docs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, int] = defaultdict(int)
+        counts: dict[tuple[int, bool], int] = defaultdict(int)
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], names=["leaf", "n"])
+            least = pa.array([LONG_DOCS if long else None for _, long in counts], pa.int32())
+            out = pa.RecordBatch.from_arrays([pa.array([leaf for leaf, _ in counts], pa.int64()), least, pa.array(counts.values(), pa.int64())], names=["leaf", "least", "n"])
             counts.clear()
             return out
 
         for batch in batches:
             for _, text in _documents(batch):
-                for leaf in {_keys(ws, depth)[0] for line in text.split(b"\n") if (ws := masked_words(line))}:
+                leaves = set()
+                for line in text.split(b"\n"):
+                    if ws := masked_words(line):
+                        leaves.add((_leaf(ws, depth), False))
+                        if (exact := _exact(line, ws)) is not None:
+                            leaves.add((exact, True))
+                for leaf in leaves:
                     counts[leaf] += 1
             if len(counts) > 300_000:
                 yield flush()
         yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
+    return docs.select("doc_id", "text").mapInArrow(run, "leaf long, least int, n long").groupBy("leaf", "least").agg(F.sum("n").alias("n"))
 
 
 def _slots(leaves: DataFrame) -> np.ndarray:
@@ -97,7 +116,7 @@ def _slots(leaves: DataFrame) -> np.ndarray:
 
 
 def _occurrences(docs: DataFrame, bits: np.ndarray, depth: int) -> DataFrame:
-    """Lines in the filter's leaves: doc_id, sign (of the text), place, leaf, key, and the masked line once a task."""
+    """Lines in the filter's leaves: doc_id, sign (of the text), place, leaf, key, and the masked line once a task (never for a long line's own leaf)."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)  # 2 ** SLOT_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,6 +128,9 @@ def _occurrences(docs: DataFrame, bits: np.ndarray, depth: int) -> DataFrame:
                 for place, line in enumerate(text.split(b"\n")):
                     if not (ws := masked_words(line)):
                         continue
+                    exact = _exact(line, ws)
+                    if exact is not None and int(table[(exact & top) >> 5]) >> (exact & 31) & 1:
+                        rows.append((doc_id, sign, place, exact, exact, None))
                     leaf, key = _keys(ws, depth)
                     slot = leaf & top
                     if int(table[slot >> 5]) >> (slot & 31) & 1:
@@ -133,7 +155,7 @@ def _lines(rows: list[tuple]) -> pa.RecordBatch:
 
 def find_templates(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, min_fixed: int = MIN_FIXED, fixed_percent: int = FIXED_PERCENT) -> tuple[DataFrame, DataFrame]:
     """Occurrences (doc_id, sign, place, leaf, key) and, by (leaf, key), its recurring template and that template's documents."""
-    leaves = materialize(_leaf_counts(docs, depth).where(F.col("n") >= min_docs), "leaves")
+    leaves = materialize(_leaf_counts(docs, depth).where(F.col("n") >= F.coalesce("least", F.lit(min_docs))), "leaves")
     found = materialize(_occurrences(docs, _slots(leaves), depth), "occurrences")
     held = found.join(leaves.select(F.col("leaf").alias("_l")), F.col("leaf") == F.col("_l"), "left_semi")
     counted = held.groupBy("leaf", "key").agg(F.first("ws", ignorenulls=True).alias("ws"))
@@ -141,7 +163,8 @@ def find_templates(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH
     lines = materialize(counted.join(in_docs, ["leaf", "key"]), "lines")
 
     # lines that recur as they are need no template
-    exact = lines.where(F.col("n") >= min_docs).select("leaf", "key", F.array_join("ws", " ").alias("template"))
+    enough = F.when(F.col("ws").isNull(), LONG_DOCS).otherwise(min_docs)
+    exact = lines.where(F.col("n") >= enough).select("leaf", "key", F.coalesce(F.array_join("ws", " "), F.lit("")).alias("template"))
     words = lines.where(F.size("ws") >= max(min_fixed, depth + 1)).select("leaf", "key", "n", F.posexplode("ws").alias("at", "w"))
     later = words.where((F.col("at") >= depth) & (F.col("w") != VARIABLE.decode()))
     fixed = later.groupBy("leaf", "at", "w").agg(F.sum("n").alias("_n")).where(F.col("_n") >= min_docs).select(F.col("leaf").alias("_l"), F.col("at").alias("_a"), F.col("w").alias("_w"), "_n")
