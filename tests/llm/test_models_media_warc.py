@@ -83,6 +83,16 @@ def test_secret_forest(spark):
         secret_forest.train(spark, [("", "x", "", "", 1)])
 
 
+def test_values_are_whole_and_without_their_key():
+    long = "eyJ" + "a1B2" * 300
+    assert secret_forest.candidates(f'token = "{long}" end') == [(9, "assigned", long)] and secret_forest.candidates(f"see {long}") == [(4, "token", long)]
+    assert secret_forest.candidates("password=hunter2x") == [(9, "assigned", "hunter2x")]
+    assert secret_forest.candidates("x\nMY_DB2_PASSWORD=hunter2xyz\n") == [(18, "assigned", "hunter2xyz")]
+    head = "ab12" * 5
+    assert secret_forest.candidates(f"{head}/password=hunter2x") == [(0, "token", head + "/"), (30, "assigned", "hunter2x")]
+    assert secret_forest.candidates("password=abc1 build=a1b2c3d4e5f6a7b8") == [(14, "token", "build=a1b2c3d4e5f6a7b8")]
+
+
 def test_secrets_in_awkward_rows(spark):
     key = "a1b2" * 10
     texts = [None, "", f'token = "{key}"', "x" * 100_000 + f" secret: {key} tail", f"see {key}", f'token = "{key}" token = "{key}"']

@@ -9,7 +9,8 @@ made_findings() makes a bounded, seeded set by rule.
 
 Null and empty texts have no candidates. A null doc_id or path is kept (a null path counts
 as unknown). Repeated rows are scanned one by one. Overlapping candidates are reported once,
-the one that starts first. Texts are scanned whole. Empty tables give empty results; extra
+the one that starts first; but a token ends before a key whose assigned value it runs into.
+Values have no upper length. Texts are scanned whole. Empty tables give empty results; extra
 columns are ignored. Training needs findings of both labels, else it raises.
 """
 
@@ -19,6 +20,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -51,7 +53,7 @@ PATHS = (("test", 1), ("example", 1), ("fixture", 1), ("mock", 1), ("lock", 2),
 BESIDE = 60
 FEATURES = ("length", "digits", "uppers", "lowers", "symbols", "entropy", "changes", "hex", "repeats", "dictionary", "prefix", "path", "key_before", "assigned", "quoted", "dummy", "hash_beside", "same_beside")
 
-_ASSIGNED = re.compile(r"(?i)(?:" + "|".join(map(re.escape, KEY_WORDS)) + r")[\w-]{0,20}[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?(?:bearer\s+)?([^\s\"'`,;<>(){}\[\]|]{6,512})")
+_ASSIGNED = re.compile(r"(?i)(?:" + "|".join(map(re.escape, KEY_WORDS)) + r")[\w-]{0,20}[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?(?:bearer\s+)?([^\s\"'`,;<>(){}\[\]|]{6,}+)")
 _PEM = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----")
 _TOKEN = re.compile(r"[A-Za-z0-9_\-+/=.]{16,}")
 _WORD = re.compile(r"[a-z]{3,}")
@@ -60,10 +62,16 @@ _HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+|[0-9a-fA-F-]{36})")
 
 def candidates(text: str) -> list[tuple[int, str, str]]:
     """(start, kind, value) of each candidate, in order, without overlaps."""
-    found = []
+    found, starts, keys = [], [], []
     lowered = text.lower()
     if any(k in lowered for k in KEY_WORDS):
-        found += [(m.start(1), "assigned", m.group(1)) for m in _ASSIGNED.finditer(text)]
+        for m in _ASSIGNED.finditer(text):
+            key = m.start()
+            while key and (text[key - 1].isalnum() or text[key - 1] in "_-"):
+                key -= 1
+            found.append((m.start(1), "assigned", m.group(1)))
+            starts.append(m.start(1))
+            keys.append(key)
     if "-----BEGIN " in text:
         found += [(m.start(), "private_key", m.group()) for m in _PEM.finditer(text)]
     at = 0
@@ -71,8 +79,12 @@ def candidates(text: str) -> list[tuple[int, str, str]]:
         at = text.index(w, at)
         for m in _TOKEN.finditer(w):
             value = m.group().strip(".=") if not m.group().endswith("=") else m.group().lstrip(".=")
+            start = at + m.start() + m.group().index(value)
+            i = bisect_right(starts, start)
+            if i < len(starts) and starts[i] < start + len(value):
+                value = text[start : max(start, keys[i])].rstrip(".=")  # the rest is a key and its value
             if len(value) >= 16 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
-                found.append((at + m.start() + m.group().index(value), "token", value))
+                found.append((start, "token", value))
         at += len(w)
     out, end = [], 0
     for start, kind, value in sorted(found, key=lambda x: (x[0], x[1])):
