@@ -102,6 +102,16 @@ def test_long_lines_recur_from_two_documents_on(spark):
     assert {i for i, k in got.items() if k} == {2, 8} and got[2] == got[8] == 1
 
 
+def test_lines_of_one_document_count_once(spark):
+    some = ["oak", "elm", "ash", "fir", "yew", "box"]
+    listed = "\n".join(f"Please plant the tall {w} beside the old stone wall today" for w in some)
+    leaf = [(i, f"Please plant the {' '.join(a + str(chr(97 + i)) for a in 'abcdefgh')}") for i in range(2, 9)]
+    for copies, dropped in ((1, 0), (4, 0), (5, 4 * 6)):  # of five, each line keeps its first
+        rows = [*leaf, *((20 + i, listed + "\nn" + "o" * i) for i in range(copies))]
+        got = lt.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sum(r.n_dropped for r in got) == dropped
+
+
 def test_stage_keeps_columns(spark):
     docs = helpers.awkward(spark)
     out = lt.drop_templates(docs)

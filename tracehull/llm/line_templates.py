@@ -153,13 +153,51 @@ def _lines(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "sign", "place", "leaf", "key", "ws"])
 
 
+def _shapes(depth: int, min_fixed: int, fixed_percent: int):
+    """Templates of a line, fine to coarse, from its words and the documents that have each fixed one at its place."""
+    variable = VARIABLE.decode()
+
+    def tried(ws: list[str], support: dict[int, int]) -> list[list[str]]:
+        n_later = sum(w != variable for w in ws[depth:])
+        ordered = sorted(support.values(), reverse=True)
+        middle = ordered[(n_later - 1) // 2] if (n_later - 1) // 2 < len(ordered) else 0
+        out: list[list[str]] = []
+        for share in SHARES:
+            t = [w if i < depth or 100 * support.get(i, -1) >= share * middle else variable for i, w in enumerate(ws)]
+            if t not in out:
+                out.append(t)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+        for batch in batches:
+            rows: list[tuple] = []
+            for leaf, key, n, ws, fixed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for level, t in enumerate(tried(ws, {x["at"]: x["_n"] for x in fixed})):
+                    kept = len(t) - t.count(variable)
+                    if kept >= min_fixed and 100 * kept >= fixed_percent * len(t):
+                        rows.append((leaf, key, n, level, " ".join(t)))
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=["leaf", "key", "n", "level", "template"])
+
+    return run
+
+
 def find_templates(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, min_fixed: int = MIN_FIXED, fixed_percent: int = FIXED_PERCENT) -> tuple[DataFrame, DataFrame]:
     """Occurrences (doc_id, sign, place, leaf, key) and, by (leaf, key), its recurring template and that template's documents."""
     leaves = materialize(_leaf_counts(docs, depth).where(F.col("n") >= F.coalesce("least", F.lit(min_docs))), "leaves")
     found = materialize(_occurrences(docs, _slots(leaves), depth), "occurrences")
     held = found.join(leaves.select(F.col("leaf").alias("_l")), F.col("leaf") == F.col("_l"), "left_semi")
     counted = held.groupBy("leaf", "key").agg(F.first("ws", ignorenulls=True).alias("ws"))
-    in_docs = held.select("leaf", "key", "doc_id", "sign").distinct().groupBy("leaf", "key").agg(F.count(F.lit(1)).alias("n"))
+    sets = materialize(held.groupBy("leaf", "doc_id", "sign").agg(F.collect_set("key").alias("keys")), "keys")
+    in_docs = sets.select("leaf", F.explode("keys").alias("key")).groupBy("leaf", "key").agg(F.count(F.lit(1)).alias("n"))
+    several = sets.where(F.size("keys") > 1).select("leaf", "doc_id", "sign", F.explode("keys").alias("key"))
+
+    def documents(rows: DataFrame, *by: str) -> DataFrame:
+        """Distinct documents ``_n`` of ``rows`` (leaf, key, n) by leaf and ``by``: the sum of n, less what a document with several such lines adds too much."""
+        twice = several.join(rows.drop("n"), ["leaf", "key"]).groupBy("leaf", *by, "doc_id", "sign").agg((1 - F.count(F.lit(1))).alias("n")).where("n < 0")
+        return rows.select("leaf", *by, "n").union(twice.select("leaf", *by, "n")).groupBy("leaf", *by).agg(F.sum("n").alias("_n"))
+
     lines = materialize(counted.join(in_docs, ["leaf", "key"]), "lines")
 
     # lines that recur as they are need no template
@@ -167,22 +205,13 @@ def find_templates(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH
     exact = lines.where(F.col("n") >= enough).select("leaf", "key", F.coalesce(F.array_join("ws", " "), F.lit("")).alias("template"))
     words = lines.where(F.size("ws") >= max(min_fixed, depth + 1)).select("leaf", "key", "n", F.posexplode("ws").alias("at", "w"))
     later = words.where((F.col("at") >= depth) & (F.col("w") != VARIABLE.decode()))
-    fixed = later.groupBy("leaf", "at", "w").agg(F.sum("n").alias("_n")).where(F.col("_n") >= min_docs).select(F.col("leaf").alias("_l"), F.col("at").alias("_a"), F.col("w").alias("_w"), "_n")
+    fixed = documents(later, "at", "w").where(F.col("_n") >= min_docs).select(F.col("leaf").alias("_l"), F.col("at").alias("_a"), F.col("w").alias("_w"), "_n")
     same_word = (F.col("leaf") == F.col("_l")) & (F.col("at") == F.col("_a")) & (F.col("w") == F.col("_w"))
     marked = later.join(fixed, same_word).groupBy("leaf", "key").agg(F.collect_set(F.struct("at", "_n")).alias("fixed"))
     shaped = lines.where(F.size("ws") >= max(min_fixed, depth + 1)).join(marked, ["leaf", "key"])
-    n_later = F.size(F.filter("ws", lambda w, i: (i >= depth) & (w != VARIABLE.decode())))
-    middle = F.coalesce(F.get(F.sort_array(F.transform("fixed", lambda x: x["_n"]), asc=False), F.floor((n_later - 1) / 2).cast("int")), F.lit(0))
-
-    def general(percent: int):
-        kept = F.transform(F.filter("fixed", lambda x: 100 * x["_n"] >= percent * F.col("_mid")), lambda x: x["at"])
-        return F.transform("ws", lambda w, i: F.when((i < depth) | F.array_contains(kept, i), w).otherwise(F.lit(VARIABLE.decode())))
-
-    tried = F.array_distinct(F.array(*[general(k) for k in SHARES]))  # fine to coarse
-    shaped = shaped.withColumn("_mid", middle).select("leaf", "key", "n", F.posexplode(tried).alias("level", "t")).withColumn("_f", F.size(F.filter("t", lambda w: w != VARIABLE.decode())))
-    shaped = shaped.where((F.col("_f") >= min_fixed) & (100 * F.col("_f") >= fixed_percent * F.size("t")))
-    shaped = shaped.select("leaf", "key", "n", "level", F.array_join("t", " ").alias("template"))
-    many = shaped.groupBy("leaf", "template").agg(F.sum("n").alias("_n")).where(F.col("_n") >= min_docs).select(F.col("leaf").alias("_l"), F.col("template").alias("_t"))
+    shapes = shaped.select("leaf", "key", "n", "ws", "fixed").mapInArrow(_shapes(depth, min_fixed, fixed_percent), "leaf long, key long, n long, level int, template string")
+    shaped = materialize(shapes, "shaped")
+    many = documents(shaped.drop("level"), "template").where(F.col("_n") >= min_docs).select(F.col("leaf").alias("_l"), F.col("template").alias("_t"))
     loose = shaped.join(many, (F.col("leaf") == F.col("_l")) & (F.col("template") == F.col("_t")), "left_semi").groupBy("leaf", "key").agg(F.min(F.struct("level", "template"))["template"].alias("template"))
     every = loose.unionByName(exact.join(loose.select(F.col("leaf").alias("_l"), F.col("key").alias("_k")), (F.col("leaf") == F.col("_l")) & (F.col("key") == F.col("_k")), "left_anti"))
     return found.drop("ws"), materialize(every, "templates")
