@@ -46,9 +46,11 @@ def made_rows():
     return rows + [(n, None), (n + 1, ""), (n + 2, " \t"), (n + 3, "a"), (n + 4, "A"), (n + 5, "É"), (n + 6, "é"), (n + 7, "long " * 30_000)]
 
 
-@pytest.mark.parametrize(("n", "percent", "tile"), [(3, 90, 4096), (3, 90, 5), (5, 80, 4096)])
-def test_join_against_all_pairs(spark, monkeypatch, n, percent, tile):
-    monkeypatch.setattr(ngram_join, "TILE", tile)
+@pytest.mark.parametrize(("n", "percent", "sets", "long_list"), [(3, 90, 2048, 15), (3, 90, 3, 3), (5, 80, 2048, 15), (5, 80, 4, 2)])
+def test_join_against_all_pairs(spark, monkeypatch, n, percent, sets, long_list):
+    """Also with blocks of a few sets and lists dealt over tasks, so that families of many blocks occur."""
+    monkeypatch.setattr(ngram_join, "BLOCK_WEIGHT", sets * ngram_join.SET_WEIGHT)
+    monkeypatch.setattr(ngram_join, "LONG_LIST_BITS", long_list)
     rows = made_rows()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n, percent).collect()}
     assert got == plain_components(rows, n, percent)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -31,12 +32,14 @@ def n_words(text: Column) -> Column:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``, else a temporary one on a local session."""
+    """The folder every executor sees: ``spark.checkpoint.dir``; a temporary one only where driver and executors are one process."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         root = sc._jsc.sc().getCheckpointDir().getOrElse(None) if sc._jsc.sc().getCheckpointDir().isDefined() else None
     if root is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tracehull-")
         sc.setCheckpointDir(root)
     return root if "://" in root or root.startswith("file:") else "file://" + root
@@ -50,11 +53,25 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
 def materialize(df: DataFrame, kind: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back, so later steps do not recompute it.
 
-    The files are written from Python: Spark's own writer starts a process for each
-    file on local file systems without native libraries, which for a moment doubles
-    what an executor seems to hold. Only files that a finished task names stay.
+    Where the folder is a mounted file system the files are written from Python: there
+    Spark's own writer starts a process for each file, which for a moment doubles what an
+    executor seems to hold. Only files that a finished task names stay. Anywhere else
+    Spark's writer and its commit protocol are used. ``discard`` deletes the table.
     """
     spark, path = df.sparkSession, fresh_dir(df.sparkSession, kind)
+    if path.startswith("file:"):
+        rows = _write_files(df, path)
+    else:
+        df.write.option("compression", "zstd").parquet(path)
+        rows = 1
+    out = spark.read.schema(df.schema).parquet(path) if rows else spark.createDataFrame([], df.schema)
+    out.written_at = path if rows else None
+    free_shuffles(spark)
+    return out
+
+
+def _write_files(df: DataFrame, path: str) -> int:
+    """Write ``df`` as Parquet files of Python tasks under the file URI ``path``; how many files were written."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(path)
@@ -80,15 +97,28 @@ def materialize(df: DataFrame, kind: str) -> DataFrame:
             pa.default_memory_pool().release_unused()  # workers live on
             yield pa.RecordBatch.from_pydict({"file": [name], "rows": [rows]})
 
-    short_batches(spark)
+    short_batches(df.sparkSession)
     kept = {r["file"] for r in df.mapInArrow(write, "file string, rows long").collect()}  # one name a task
-    if not kept:
-        return spark.createDataFrame([], df.schema)
-    fs, base = open_fs(path)
-    for info in fs.get_file_info(pafs.FileSelector(base)):
-        if info.base_name not in kept:
-            fs.delete_file(info.path)
-    return spark.read.schema(df.schema).parquet(path)
+    if kept:
+        fs, base = open_fs(path)
+        for info in fs.get_file_info(pafs.FileSelector(base)):
+            if info.base_name not in kept:
+                fs.delete_file(info.path)
+    return len(kept)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that no later step reads: call it once all that follows from them is written."""
+    for table in tables:
+        if path := getattr(table, "written_at", None):
+            where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession._jsc.sc().hadoopConfiguration()).delete(where, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver drop plans it no longer needs; executors delete a shuffle's files only after that."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:

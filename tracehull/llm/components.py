@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -24,17 +24,26 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for nodes of ``edges`` (u, v: long); the component is its least node.
 
     Each round is written to the shared folder, so no lineage grows and a lost executor
-    costs one round. Stars shrink the longest path by a constant factor a round.
+    costs one round; it is deleted when the next one is written. Stars shrink the longest
+    path by a constant factor a round. ``discard`` deletes the result's table.
     """
     edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    if not mark[0]:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    for _ in range(most_rounds):
-        edges = materialize(_small_star(_large_star(edges)), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
-        mark = now
-    raise RuntimeError("components did not settle")
+    mark = _mark(edges)
+    for _ in range(most_rounds if mark[0] else 0):
+        before, edges = edges, materialize(_small_star(_large_star(edges)), "edges")
+        discard(before)
+        last, mark = mark, _mark(edges)
+        if last == mark:
+            break
+    else:
+        if mark[0]:
+            raise RuntimeError("components did not settle")
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out.written_at = edges.written_at
+    return out
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """Tells one set of edges from another: their number and the sum of their hashes."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
