@@ -5,7 +5,8 @@ space after it, nor an ASCII or Latin-1 letter or digit to common punctuation af
 it. Cutting there and encoding the parts alone therefore gives the ids of the whole
 text. Each distinct part is encoded once a worker and then looked up. Texts with
 white space beyond space, tab, line feed and carriage return, for which that cut
-does not hold, are encoded whole.
+does not hold, are encoded whole. Special strings of the vocabulary inside a text get
+their own id, as the tokenizer gives it; a text with them is cut there first.
 """
 
 from __future__ import annotations
@@ -44,7 +45,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = self.tokenizer.get_added_tokens_decoder().values()
+        #: Special strings at which the tokenizer cuts texts; plain if it does so wherever they stand.
+        self.special = re.compile("(" + "|".join(re.escape(t.content) for t in sorted(special, key=lambda t: -len(t.content))) + ")") if special else None
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in special)
         self.dtype = np.dtype(dtype)
         if self.tokenizer.get_vocab_size() - 1 > np.iinfo(self.dtype).max:
             raise ValueError(f"{self.dtype} cannot hold the ids of this vocabulary")
@@ -90,8 +94,18 @@ class Encoder:
         tokenize, table, code, width = self.tokenizer.model.tokenize, self.letters, self.typecode, self.dtype.itemsize
         return [array.array(code, [t.id for t in tokenize(p.encode().decode("latin-1").translate(table))]).tobytes() for p in parts] if width in (2, 4) else self._encode_parts(parts)
 
+    def _parts(self, text: str) -> list[str]:
+        if _ODD_SPACE.search(text):
+            return [text]
+        if self.special is None or not self.special.search(text):
+            return _PART.findall(text)
+        if not self.plain:
+            return [text]
+        pieces = self.special.split(text)  # every second one is a special string
+        return [p for i, piece in enumerate(pieces) for p in ([piece] if i % 2 else _PART.findall(piece))]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [_PART.findall(t) if t and not _ODD_SPACE.search(t) else [t or ""] for t in texts]
+        parts = [self._parts(t) if t else [""] for t in texts]
         if len(self.known) > self.CAPACITY // 2:
             self.older, self.known = self.known, {}
         get = self.known.get
