@@ -1,14 +1,16 @@
 """Mixing sources to target weights: hash-random order, distributed prefix sums, an exact cut.
 
-Every document gets a random key from a hash of its id. Within each source, documents
-are put in key order by ranges of the key, running sums of words are shifted by the
-totals of earlier ranges, and the source is cut at its exact budget: whole epochs
-first, then a prefix of the order, whose last document may be taken in part.
-
-Null text has size 0. A null source is a source of its own, ordered last. Documents of
-equal key keep an order by id and size. Sources without words have target 0. An empty
+Every document gets a random key from a hash of its id. Within each source, ranges of
+the key get running sums of words, and the source is cut at its exact budget: whole
+epochs first, then a prefix of the key's order, whose last document may be taken in part.
+Documents in ranges before the cut are taken and those after it left; the one range
+that holds the cut is sorted and summed document by document.
+
+Null text has size 0. A null source is a source of its own, ordered last. A document
+without an id gets its key from its text. Documents of equal key keep an order by id,
+size and text. Sources without words have target 0. An empty
 table gives an empty result. Extra columns pass through mix() and are ignored by plan().
-The list of sources (not of documents) is held on the driver.
+The list of sources (not of documents) is held on the driver, some 100 bytes each.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
-from .common import bucketed_positions, materialize, n_words, require, words
+from .common import discard, materialize, n_words, require, words
 
 #: Weights by rank of the source, repeating; share of all words the mix holds; epochs at most.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -42,48 +45,71 @@ def targets(sizes: dict[str | None, int], weights: Sequence[int] = WEIGHTS, shar
     return out
 
 
-def random_key(doc_id: Column, seed: int) -> Column:
-    """32 hexadecimal digits, the same in every run and engine."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), doc_id.cast("string")))
+def random_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """32 hexadecimal digits, the same in every run and engine; of the text where there is no id, so that such rows spread too."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit(""))))))
+
+
+def _keyed(docs: DataFrame, columns: list[Column], seed: int) -> DataFrame:
+    """``columns`` with _size, _key, _at (the key's first 32 bits) and _tie, which tells texts of one id apart."""
+    key = random_key(F.col("doc_id"), F.col("text"), seed)
+    at = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
+    return docs.select(*columns, n_words(F.col("text")).alias("_size"), key.alias("_key"), at.alias("_at"), F.xxhash64("text").alias("_tie"))
 
 
-def _assigned(rows: DataFrame, seed: int, weights: Sequence[int], share: float, most: int) -> DataFrame:
-    """``rows`` (with doc_id, source, _size) and _source_size, _target, _epochs, _extra."""
-    spark = rows.sparkSession
-    totals = {r["source"]: (int(r["n"]), int(r["s"] or 0)) for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("s")).collect()}
+def _range(at: Column, ranges: int) -> Column:
+    return F.floor(at * F.lit(ranges) / F.lit(2**32))
+
+
+def _cuts(narrow: DataFrame, weights: Sequence[int], share: float, most: int) -> tuple[DataFrame, int]:
+    """By source its size, target, whole epochs, and where the rest of its budget ends: in which range of keys, and how far into it; and the number of ranges."""
+    spark = narrow.sparkSession
+    totals = {r["source"]: (int(r["n"]), int(r["s"] or 0)) for r in narrow.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("s")).collect()}
     wanted = targets({k: s for k, (_, s) in totals.items()}, weights, share, most)
-    table = []
-    for source, (_, size) in totals.items():
-        budget = math.floor(wanted[source])
-        epochs = budget // size if size else 0
-        table.append((source, size, float(wanted[source]), epochs, budget - epochs * size))
-    schema = "_s string, _source_size long, _target double, _epochs long, _rest long"
-    buckets = max(1, math.isqrt(sum(n for n, _ in totals.values())))
-    keyed = rows.withColumn("_key", random_key(F.col("doc_id"), seed))
-    salt = F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(2**32))
-    order = [F.col(c) for c in ("_key", "doc_id", "_size")]
-    placed = bucketed_positions(keyed, ["source"], order, salt, F.col("_size"), buckets, "_rank", "_before")
-    joined = placed.join(spark.createDataFrame(table, schema), F.col("source").eqNullSafe(F.col("_s")), "left")
-    extra = F.least(F.col("_size"), F.greatest(F.lit(0), F.col("_rest") - F.col("_before")))
-    return joined.withColumn("_extra", extra.cast("long")).drop("_s", "_key", "_rank", "_before", "_rest")
+    budgets = {k: math.floor(wanted[k]) for k in totals}
+    epochs = {k: budgets[k] // s if s else 0 for k, (_, s) in totals.items()}
+    rests = [(k, budgets[k] - epochs[k] * s) for k, (_, s) in totals.items()]
+    ranges = max(1, math.isqrt(sum(n for n, _ in totals.values())))
+    sums = narrow.groupBy("source", _range(F.col("_at"), ranges).alias("_r")).agg(F.sum("_size").alias("_s"))
+    earlier = Window.partitionBy("source").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    summed = sums.withColumn("_b", F.coalesce(F.sum("_s").over(earlier), F.lit(0)))  # at most ``ranges`` rows a source
+    held = summed.join(spark.createDataFrame(rests, "_k string, _rest long"), F.col("source").eqNullSafe(F.col("_k")))
+    cuts = {r["source"]: (r["_r"], r["_rest"] - r["_b"]) for r in held.where("_b < _rest AND _rest <= _b + _s").collect()}  # one a source
+    table = [(k, s, float(wanted[k]), epochs[k], *cuts.get(k, (-1, 0))) for k, (_, s) in totals.items()]
+    return spark.createDataFrame(table, "_k string, _source_size long, _target double, _epochs long, _cut long, _inside long"), ranges
+
+
+def _taken(rows: DataFrame, table: DataFrame, ranges: int) -> DataFrame:
+    """``rows`` with _extra: the words taken beyond whole epochs. Only the one range of each source that holds its cut is put in order."""
+    joined = rows.join(table, F.col("source").eqNullSafe(F.col("_k")), "left").drop("_k").withColumn("_r", _range(F.col("_at"), ranges))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy("source").orderBy("_key", "doc_id", "_size", "_tie").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = joined.where("_r = _cut").withColumn("_extra", F.least(F.col("_size"), F.greatest(F.lit(0), F.col("_inside") - before)).cast("long"))
+    others = joined.where("_r <> _cut").withColumn("_extra", F.when(F.col("_r") < F.col("_cut"), F.col("_size")).otherwise(0).cast("long"))
+    return others.union(inside).drop("_key", "_at", "_tie", "_r", "_cut", "_inside")
 
 
 def plan(docs: DataFrame, seed: int = 17, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """What the mix takes of each document: doc_id, size, source_size, target, taken (words, repeats counted)."""
     require(docs, "doc_id", "text", "source")
-    narrow = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("_size")), "sizes")
+    narrow = materialize(_keyed(docs, [F.col("doc_id"), F.col("source")], seed), "sizes")
     taken = F.col("_epochs") * F.col("_size") + F.col("_extra")
-    return _assigned(narrow, seed, weights, share, most).select(
+    return _taken(narrow, *_cuts(narrow, weights, share, most)).select(
         "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken")
     )
 
 
 def mix(docs: DataFrame, seed: int = 17, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """The mixed corpus: each document once an epoch, the one at the cut up to its last word taken (its words joined by spaces)."""
+    """The mixed corpus: each document once an epoch, the one at the cut up to its last word taken (its words joined by spaces).
+
+    Texts are not shuffled, but for those of the range of keys that holds a source's cut.
+    """
     require(docs, "doc_id", "text", "source")
+    narrow = materialize(_keyed(docs, [F.col("source")], seed).select("source", "_at", "_size"), "sizes")
+    cuts = _cuts(narrow, weights, share, most)
+    discard(narrow)
     # the row travels as one column, so that none of its names can clash
-    sized = docs.select("doc_id", "source", F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), n_words(F.col("text")).alias("_size"))
-    assigned = _assigned(sized, seed, weights, share, most)
+    rows = _keyed(docs, [F.col("doc_id"), F.col("source"), F.struct(*[F.col(c) for c in docs.columns]).alias("_row")], seed)
+    assigned = _taken(rows, *cuts)
     text = F.col("_row.text")
     whole = (F.col("_epochs") + F.when((F.col("_extra") == F.col("_size")) & (F.col("_size") > 0), 1).otherwise(0)).cast("int")
     part = F.when((F.col("_extra") > 0) & (F.col("_extra") < F.col("_size")), F.array(F.array_join(F.slice(words(text), 1, F.col("_extra").cast("int")), " "))).otherwise(
