@@ -381,9 +381,14 @@ def _blocks(drop_pure: bool):
     return run
 
 
+def _tasks(df: DataFrame) -> int:
+    """How many tasks share Python work on narrow rows: too few bytes for Spark to see how much work they are."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _placed(rows: DataFrame, kind: str, drop_pure: bool) -> DataFrame:
     """(key, g, n, id, rep, block): ``rows`` dealt by ranges, so that no list is bound to one task."""
-    ordered = rows.select("key", "g", "n", "id", "rep").repartitionByRange("key", "g", "n", "id").sortWithinPartitions("key", "g", "n", "id")
+    ordered = rows.select("key", "g", "n", "id", "rep").repartitionByRange(_tasks(rows), "key", "g", "n", "id").sortWithinPartitions("key", "g", "n", "id")
     return materialize(ordered.mapInArrow(_blocks(drop_pure), "key long, g long, n int, id long, rep long, block long"), kind)
 
 
@@ -483,7 +488,7 @@ def _may_be_member(docs: DataFrame, members: DataFrame) -> DataFrame:
 def _exact(docs: DataFrame, tiles: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (u, v) of ``tiles`` (key, i, j, block, g, id, rep), each document's text fetched once for a tile it is in."""
     fetched = tiles.join(docs.withColumnRenamed("doc_id", "_doc"), F.col("rep") == F.col("_doc")).drop("_doc")
-    dealt = fetched.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = fetched.repartition(_tasks(fetched), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.select("key", "i", "j", "block", "g", "id", "rep", "text").mapInArrow(_in_families(n, percent), "u long, v long")
 
 
@@ -529,7 +534,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     members = materialize(listed.join(classes, F.col("id") == F.col("f1")).select("id", "rep", "n", "tokens", "bits"), "members")
 
     few = members.select(F.explode(F.slice("tokens", 1, FEW)).alias("key"), "n", "id", "rep", "bits")
-    sorted_few = few.repartitionByRange("key", "n", "id").sortWithinPartitions("key", "n", "id")
+    sorted_few = few.repartitionByRange(_tasks(few), "key", "n", "id").sortWithinPartitions("key", "n", "id")
     near = materialize(sorted_few.mapInArrow(_in_lists(percent), "u long, v long").distinct(), "near")
     groups = components(near)
 
@@ -537,7 +542,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     placed = _placed(grouped.select(F.explode("tokens").alias("key"), F.coalesce("component", "rep").alias("g"), "n", "id", "rep"), "lists", True)
     in_tiles = placed.join(_tiles(placed, percent), (F.col("key") == F.col("_key")) & (F.col("block") == F.col("_block")))
     mapped = in_tiles.drop("_key", "_block").join(members.select(F.col("id").alias("_i"), F.col("rep").alias("_r"), "bits"), (F.col("id") == F.col("_i")) & (F.col("rep") == F.col("_r")))
-    dealt = mapped.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "block", "g", "rep", "n", "bits")
+    dealt = mapped.repartition(_tasks(mapped), "key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "block", "g", "rep", "n", "bits")
     wider = materialize(dealt.mapInArrow(_in_tiles(percent), "u long, v long").distinct().union(near), "near")
     families = components(wider)
     discard(near, groups, placed)
