@@ -6,12 +6,13 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 #: A word is a maximal run of characters outside this set of seven white-space code points.
@@ -50,6 +51,13 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow``, which ``materialize`` can run in the same Python worker as its writer."""
+    out = df.mapInArrow(function, schema)
+    out.mapped_from = (df, function)
+    return out
+
+
 def materialize(df: DataFrame, kind: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back, so later steps do not recompute it.
 
@@ -72,17 +80,20 @@ def materialize(df: DataFrame, kind: str) -> DataFrame:
 
 def _write_files(df: DataFrame, path: str) -> int:
     """Write ``df`` as Parquet files of Python tasks under the file URI ``path``; how many files were written."""
+    source, function = getattr(df, "mapped_from", (df, None))
+    schema = to_arrow_schema(df.schema)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(path)
         name, writer, held, size, rows = f"part-{attempt_tag()}.parquet", None, [], 0, 0
-        for batch in batches:
+        for batch in function(batches) if function else batches:
             if not batch.num_rows:
                 continue
+            batch = batch.select(schema.names).cast(schema)
             if writer is None:
                 fs.create_dir(base, recursive=True)
                 out = fs.open_output_stream(f"{base}/{name}", compression=None)
-                writer = pq.ParquetWriter(out, batch.schema, compression="zstd")
+                writer = pq.ParquetWriter(out, schema, compression="zstd")
             held.append(batch)
             size, rows = size + batch.nbytes, rows + batch.num_rows
             if size > 8_000_000:
@@ -98,7 +109,7 @@ def _write_files(df: DataFrame, path: str) -> int:
             yield pa.RecordBatch.from_pydict({"file": [name], "rows": [rows]})
 
     short_batches(df.sparkSession)
-    kept = {r["file"] for r in df.mapInArrow(write, "file string, rows long").collect()}  # one name a task
+    kept = {r["file"] for r in source.mapInArrow(write, "file string, rows long").collect()}  # one name a task
     if kept:
         fs, base = open_fs(path)
         for info in fs.get_file_info(pafs.FileSelector(base)):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from .common import materialize, require, temp_name
+from .common import discard, map_arrow, materialize, require, temp_name
 
 MIN_DOCS, DEPTH, MIN_FIXED, FIXED_PERCENT = 5, 3, 6, 75
 VARIABLE = b"<*>"
@@ -144,7 +144,7 @@ def _occurrences(docs: DataFrame, bits: np.ndarray, depth: int) -> DataFrame:
                     rows = []
             yield _lines(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sign long, place int, leaf long, key long, ws array<string>")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, sign long, place int, leaf long, key long, ws array<string>")
 
 
 def _lines(rows: list[tuple]) -> pa.RecordBatch:
@@ -209,12 +209,14 @@ def find_templates(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH
     same_word = (F.col("leaf") == F.col("_l")) & (F.col("at") == F.col("_a")) & (F.col("w") == F.col("_w"))
     marked = later.join(fixed, same_word).groupBy("leaf", "key").agg(F.collect_set(F.struct("at", "_n")).alias("fixed"))
     shaped = lines.where(F.size("ws") >= max(min_fixed, depth + 1)).join(marked, ["leaf", "key"])
-    shapes = shaped.select("leaf", "key", "n", "ws", "fixed").mapInArrow(_shapes(depth, min_fixed, fixed_percent), "leaf long, key long, n long, level int, template string")
+    shapes = map_arrow(shaped.select("leaf", "key", "n", "ws", "fixed"), _shapes(depth, min_fixed, fixed_percent), "leaf long, key long, n long, level int, template string")
     shaped = materialize(shapes, "shaped")
     many = documents(shaped.drop("level"), "template").where(F.col("_n") >= min_docs).select(F.col("leaf").alias("_l"), F.col("template").alias("_t"))
     loose = shaped.join(many, (F.col("leaf") == F.col("_l")) & (F.col("template") == F.col("_t")), "left_semi").groupBy("leaf", "key").agg(F.min(F.struct("level", "template"))["template"].alias("template"))
     every = loose.unionByName(exact.join(loose.select(F.col("leaf").alias("_l"), F.col("key").alias("_k")), (F.col("leaf") == F.col("_l")) & (F.col("key") == F.col("_k")), "left_anti"))
-    return found.drop("ws"), materialize(every, "templates")
+    templates = materialize(every, "templates")
+    discard(leaves, sets, lines, shaped)
+    return found.drop("ws"), templates
 
 
 def dropped_lines(docs: DataFrame, keep_first: bool = True, **bounds: int) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import attempt_tag, fresh_dir, materialize, open_fs, require
+from .common import attempt_tag, fresh_dir, map_arrow, materialize, open_fs, require
 
 #: Bytes of a row of the stored form: 64 pixels of three samples. A payload is padded to a multiple of this.
 ROW = 192
@@ -251,7 +251,7 @@ def text_media(docs: DataFrame) -> DataFrame:
                 stored.append(encode_ppm(pixels) if rows % 2 else encode_bmp(pixels))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first), pa.array(sizes, pa.int64()), pa.array(stored, pa.binary())], names=["id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, n_bytes long, media binary")
+    return map_arrow(docs.select("doc_id", "text"), run, "id long, n_bytes long, media binary")
 
 
 def media_features(docs: DataFrame) -> DataFrame:

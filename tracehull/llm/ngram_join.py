@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from .common import discard, materialize, require
+from .common import discard, map_arrow, materialize, require
 from .components import components
 
 COMMON = 3
@@ -389,7 +389,7 @@ def _tasks(df: DataFrame) -> int:
 def _placed(rows: DataFrame, kind: str, drop_pure: bool) -> DataFrame:
     """(key, g, n, id, rep, block): ``rows`` dealt by ranges, so that no list is bound to one task."""
     ordered = rows.select("key", "g", "n", "id", "rep").repartitionByRange(_tasks(rows), "key", "g", "n", "id").sortWithinPartitions("key", "g", "n", "id")
-    return materialize(ordered.mapInArrow(_blocks(drop_pure), "key long, g long, n int, id long, rep long, block long"), kind)
+    return materialize(map_arrow(ordered, _blocks(drop_pure), "key long, g long, n int, id long, rep long, block long"), kind)
 
 
 def _tiles(placed: DataFrame, percent: int) -> DataFrame:
@@ -489,7 +489,7 @@ def _exact(docs: DataFrame, tiles: DataFrame, n: int, percent: int) -> DataFrame
     """Links (u, v) of ``tiles`` (key, i, j, block, g, id, rep), each document's text fetched once for a tile it is in."""
     fetched = tiles.join(docs.withColumnRenamed("doc_id", "_doc"), F.col("rep") == F.col("_doc")).drop("_doc")
     dealt = fetched.repartition(_tasks(fetched), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.select("key", "i", "j", "block", "g", "id", "rep", "text").mapInArrow(_in_families(n, percent), "u long, v long")
+    return map_arrow(dealt.select("key", "i", "j", "block", "g", "id", "rep", "text"), _in_families(n, percent), "u long, v long")
 
 
 def _links(docs: DataFrame, members: DataFrame, families: DataFrame, near: DataFrame, n: int, percent: int) -> DataFrame:
@@ -525,7 +525,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
         raise ValueError("the threshold must be 67 to 100 percent")  # below, sets of fewer than COMMON shingles could link
     require(docs, "doc_id", "text")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = materialize(docs.mapInArrow(_sets_and_sketch(n, percent), "doc_id long, n long, f1 long, f2 long, bits binary, slice int, counts binary"), "sets")
+    described = materialize(map_arrow(docs, _sets_and_sketch(n, percent), "doc_id long, n long, f1 long, f2 long, bits binary, slice int, counts binary"), "sets")
     named = described.where("slice IS NULL AND n > 0 AND doc_id IS NOT NULL")
     classes = named.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("bits").alias("bits"))
 

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bucketed_positions, materialize, require
+from .common import bucketed_positions, map_arrow, materialize, require
 from .tokens import chunks, encoder, tokenizer_path
 
 SEQUENCE = 1024
@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, length: int = SEQUENCE, tokenizer: str | None = None
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    return map_arrow(docs.select("doc_id", "text"), cut, schema)
 
 
 def pack_histogram(histogram: dict[int, int], most: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:

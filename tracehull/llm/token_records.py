@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import attempt_tag, fresh_dir, materialize, open_fs, require
+from .common import attempt_tag, fresh_dir, map_arrow, materialize, open_fs, require
 from .tokens import chunks, encoder, tokenizer_path
 
 #: Fixed values of the mask: bits rotated, number added.
@@ -82,10 +82,10 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, dt
             out.close()
             with fs.open_output_stream(f"{base}/{tag}.idx") as index:
                 index.write(np.array(entries, INDEX).tobytes())
-            yield pa.RecordBatch.from_pydict({"shard": [int(tag[:6])], "file": [f"{folder}/{tag}"], "n_docs": [n_docs], "n_tokens": [n_tokens]})
+            yield pa.RecordBatch.from_pydict({"shard": [int(tag.split("-")[0])], "file": [f"{folder}/{tag}"], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInArrow(write, "shard long, file string, n_docs long, n_tokens long"), "manifest")
+    return materialize(map_arrow(ordered, write, "shard long, file string, n_docs long, n_tokens long"), "manifest")
 
 
 def read_records(manifest: DataFrame, dtype: str = "<u2", with_ids: bool = False) -> DataFrame:

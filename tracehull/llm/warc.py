@@ -28,7 +28,7 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import attempt_tag, fresh_dir, materialize, open_fs, require
+from .common import attempt_tag, fresh_dir, map_arrow, materialize, open_fs, require
 
 #: Payloads below this many bytes are never deduplicated.
 LEAST = 100
@@ -120,7 +120,7 @@ def write_archive(pages: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             out.close()
 
-    return materialize(joined.mapInArrow(write, "key string, page_id long, file string, offset long, length long"), "captures")
+    return materialize(map_arrow(joined, write, "key string, page_id long, file string, offset long, length long"), "captures")
 
 
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
@@ -156,10 +156,10 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
             out.close()
             with fs.open_output_stream(f"{base}/{tag}.directory") as d:
                 d.write("\n".join(directory).encode())
-            yield pa.RecordBatch.from_pydict({"shard": [int(tag[:6])], "file": [f"{folder}/{tag}"], "first_key": [first], "last_key": [last], "captures": [count]})
+            yield pa.RecordBatch.from_pydict({"shard": [int(tag.split("-")[0])], "file": [f"{folder}/{tag}"], "first_key": [first], "last_key": [last], "captures": [count]})
 
     ordered = captures.select("key", "page_id", "file", "offset", "length").repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
-    return materialize(ordered.mapInArrow(write, "shard long, file string, first_key string, last_key string, captures long"), "shards")
+    return materialize(map_arrow(ordered, write, "shard long, file string, first_key string, last_key string, captures long"), "shards")
 
 
 class Index:
