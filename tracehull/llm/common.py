@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,11 +55,29 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
 
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``df.mapInArrow``, which ``materialize`` can run in the same Python worker as its writer."""
-    out = df.mapInArrow(function, schema)
+    out = df.mapInArrow(_lean(function), schema)
     out.mapped_from = (df, function)
     return out
 
 
+def _lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``function`` that gives memory back when its task ends: workers live on, and would hold it beside the next step's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        release_memory()
+
+    return run
+
+
+def release_memory() -> None:
+    """Return what this process has freed to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def materialize(df: DataFrame, kind: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back, so later steps do not recompute it.
 
@@ -105,11 +125,10 @@ def _write_files(df: DataFrame, path: str) -> int:
             writer.close()
             out.close()
             held.clear()
-            pa.default_memory_pool().release_unused()  # workers live on
             yield pa.RecordBatch.from_pydict({"file": [name], "rows": [rows]})
 
     short_batches(df.sparkSession)
-    kept = {r["file"] for r in source.mapInArrow(write, "file string, rows long").collect()}  # one name a task
+    kept = {r["file"] for r in source.mapInArrow(_lean(write), "file string, rows long").collect()}  # one name a task
     if kept:
         fs, base = open_fs(path)
         for info in fs.get_file_info(pafs.FileSelector(base)):

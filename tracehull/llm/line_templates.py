@@ -103,7 +103,7 @@ def _leaf_counts(docs: DataFrame, depth: int) -> DataFrame:
                 yield flush()
         yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "leaf long, least int, n long").groupBy("leaf", "least").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select("doc_id", "text"), run, "leaf long, least int, n long").groupBy("leaf", "least").agg(F.sum("n").alias("n"))
 
 
 def _slots(leaves: DataFrame) -> np.ndarray:

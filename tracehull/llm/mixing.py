@@ -25,6 +25,8 @@ from .common import discard, materialize, n_words, require, words
 
 #: Weights by rank of the source, repeating; share of all words the mix holds; epochs at most.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
+#: Up to so many sources, some 100 bytes each, their table is sent to all tasks; a longer one is joined by a shuffle.
+SENT_SOURCES = 20_000
 
 
 def targets(sizes: dict[str | None, int], weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> dict[str | None, float]:
@@ -76,7 +78,8 @@ def _cuts(narrow: DataFrame, weights: Sequence[int], share: float, most: int) ->
     held = summed.join(spark.createDataFrame(rests, "_k string, _rest long"), F.col("source").eqNullSafe(F.col("_k")))
     cuts = {r["source"]: (r["_r"], r["_rest"] - r["_b"]) for r in held.where("_b < _rest AND _rest <= _b + _s").collect()}  # one a source
     table = [(k, s, float(wanted[k]), epochs[k], *cuts.get(k, (-1, 0))) for k, (_, s) in totals.items()]
-    return spark.createDataFrame(table, "_k string, _source_size long, _target double, _epochs long, _cut long, _inside long"), ranges
+    out = spark.createDataFrame(table, "_k string, _source_size long, _target double, _epochs long, _cut long, _inside long")
+    return F.broadcast(out) if len(table) <= SENT_SOURCES else out, ranges
 
 
 def _taken(rows: DataFrame, table: DataFrame, ranges: int) -> DataFrame:

@@ -182,7 +182,7 @@ def _entries(docs: DataFrame, ranks: np.ndarray, n: int, percent: int) -> DataFr
                 times = [k for _, k in sizes]
                 yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(tokens).astype(np.int64)), "part": pa.array(np.concatenate(parts).astype(np.int32)), "id": pa.array(np.repeat(np.array(ids, np.int64), times)), "n": pa.array(np.repeat(np.array([k for k, _ in sizes], np.int32), times))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, part int, id long, n int")
+    return map_arrow(docs.select("doc_id", "text"), run, "token long, part int, id long, n int")
 
 
 def _listed(percent: int):
@@ -482,7 +482,7 @@ def _may_be_member(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     h = spot(F.col("doc_id"))
     marked = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.bitmap_bucket_number(h).alias("b"), F.bitmap_bit_position(h).alias("p"))
-    return marked.mapInArrow(run, "doc_id long, text string")
+    return map_arrow(marked, run, "doc_id long, text string")
 
 
 def _exact(docs: DataFrame, tiles: DataFrame, n: int, percent: int) -> DataFrame:
@@ -530,12 +530,12 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     classes = named.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("bits").alias("bits"))
 
     entries = _entries(docs, _sketch(described), n, percent).repartition("token", "part").sortWithinPartitions("token", "part", "n", "id")
-    listed = entries.mapInArrow(_listed(percent), "token long, id long").groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("tokens")).where(F.size("tokens") >= COMMON)
+    listed = map_arrow(entries, _listed(percent), "token long, id long").groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("tokens")).where(F.size("tokens") >= COMMON)
     members = materialize(listed.join(classes, F.col("id") == F.col("f1")).select("id", "rep", "n", "tokens", "bits"), "members")
 
     few = members.select(F.explode(F.slice("tokens", 1, FEW)).alias("key"), "n", "id", "rep", "bits")
     sorted_few = few.repartitionByRange(_tasks(few), "key", "n", "id").sortWithinPartitions("key", "n", "id")
-    near = materialize(sorted_few.mapInArrow(_in_lists(percent), "u long, v long").distinct(), "near")
+    near = materialize(map_arrow(sorted_few, _in_lists(percent), "u long, v long").distinct(), "near")
     groups = components(near)
 
     grouped = members.join(groups.select(F.col("node").alias("_n"), "component"), F.col("rep") == F.col("_n"), "left")
@@ -543,7 +543,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     in_tiles = placed.join(_tiles(placed, percent), (F.col("key") == F.col("_key")) & (F.col("block") == F.col("_block")))
     mapped = in_tiles.drop("_key", "_block").join(members.select(F.col("id").alias("_i"), F.col("rep").alias("_r"), "bits"), (F.col("id") == F.col("_i")) & (F.col("rep") == F.col("_r")))
     dealt = mapped.repartition(_tasks(mapped), "key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "block", "g", "rep", "n", "bits")
-    wider = materialize(dealt.mapInArrow(_in_tiles(percent), "u long, v long").distinct().union(near), "near")
+    wider = materialize(map_arrow(dealt, _in_tiles(percent), "u long, v long").distinct().union(near), "near")
     families = components(wider)
     discard(near, groups, placed)
 
