@@ -151,6 +151,21 @@ def test_cascade_verdict_does_not_depend_on_order(spark):
     assert len(qc.order_rules(df, rules)) == len(rules)
 
 
+def test_rules_are_ordered_by_rejections_among_the_rest_a_cost(spark):
+    # rule 0 rejects most but is dear; 1 is cheap; 2 rejects only what 1 does; 3 rejects nothing and is the cheapest
+    patterns = {0b0000: 50, 0b0001: 30, 0b0011: 5, 0b0110: 20, 0b0111: 5}
+    assert qc.greedy_order(patterns, [8.0, 1.0, 0.9, 0.1]) == [1, 0, 3, 2]
+    assert qc.greedy_order(patterns, [0.5, 1.0, 1.0, 1.0]) == [0, 1, 2, 3]
+    texts = ["a" * 30 + " b"] * 30 + ["A B C"] * 20 + ["fine words here"] * 50
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 8)], "doc_id long, text string")
+    rules = [qc.Rule("dear", qc.F.col("text") == "A B C"), qc.Rule("long", qc.F.length("text") > 20), qc.Rule("never", qc.F.length("text") < 0)]
+    for _ in range(3):
+        assert [r.name for r in qc.order_rules(df, rules, costs=[100.0, 1.0, 1.0])] == ["long", "dear", "never"]
+    slow = qc.Rule("slow", qc.F.length(qc.F.regexp_replace(qc.F.repeat("text", 200), "[aeiou]+(?=x)", "")) < 0)
+    cost = qc.rule_costs(df.cache(), [qc.Rule("quick", qc.F.length("text") < 0), slow])
+    assert cost[0] < cost[1]
+
+
 def test_quality_runs_no_python(spark):
     plan = qc.quality(helpers.awkward(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
