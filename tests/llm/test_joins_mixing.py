@@ -1,6 +1,7 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 
 from tracehull.llm import components, mixing, ngram_join
@@ -56,6 +57,41 @@ def test_join_against_all_pairs(spark, monkeypatch, n, percent, sets, long_list)
     assert got == plain_components(rows, n, percent)
 
 
+def test_long_texts_copies_and_clashing_ids(spark):
+    """Sets of 3,000 to 20,000 shingles that share passages, 300 copies over 30 partitions, and ids with several texts."""
+    rng = random.Random(9)
+    made = lambda k: [f"v{rng.randrange(10**6)}" for _ in range(k)]
+    passage, rows = made(200), []
+    for size in (3_000, 3_000, 8_000, 20_000, 20_000):  # unlike but for a passage
+        rows.append(passage + made(size))
+    long = made(6_000)
+    rows += [long, [*long[:5_800], *made(200)], [*long[:3_000], *made(3_000)]]  # alike, and half alike
+    copied = made(80)
+    rows = list(enumerate(map(" ".join, rows))) + [(100 + i, " ".join(copied)) for i in range(300)] + [(500, " ".join([*copied[:79], "edited"]))]
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(30)).collect()}
+    assert got == {i: g for i, (_, g) in plain_components(rows).items()}
+    assert got[6] == 5 and got[7] == 7 and got[500] == 100 and [got[i] for i in range(5)] == list(range(5))
+    a, b = " ".join(made(60)), " ".join(made(60))
+    clash = [(1, a), (2, b), (3, a), (3, b), (4, "x y z"), (5, None), (5, "x y z")]
+    got = {(r.doc_id, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(clash, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)} or got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 5)}
+
+
+def test_bitmaps_bound_what_differs():
+    rng = np.random.default_rng(4)
+    for n in (40, 500, 5_000, 20_000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        for kept in (0.0, 0.5, 0.93, 0.99):
+            b = np.unique(np.concatenate([a[: int(kept * n)], rng.integers(0, 2**63, n - int(kept * n), dtype=np.uint64)]))
+            small, large = sorted((a, b), key=len)
+            maps = [ngram_join.bitmap(s, 90) for s in (small, large)]
+            words = ngram_join._words_of(maps, len(maps[0]))
+            differ = int(np.bitwise_count(words[0] ^ words[1]).sum())
+            both = len(np.intersect1d(a, b))
+            assert differ <= len(a) + len(b) - 2 * both
+            assert kept > 0.85 or 190 * differ > 10 * (len(a) + len(b))  # unlike sets of any size are told apart
+
+
 def test_join_of_awkward_rows(spark):
     docs = helpers.awkward(spark)
     got = ngram_join.near_duplicates(docs).collect()
