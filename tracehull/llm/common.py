@@ -53,17 +53,26 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``df.mapInArrow``, which ``materialize`` can run in the same Python worker as its writer."""
-    out = df.mapInArrow(_lean(function), schema)
-    out.mapped_from = (df, function)
+#: What empties each cache that tasks of one worker share; only steps that name a cache keep it.
+WORKER_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: str = "") -> DataFrame:
+    """``df.mapInArrow``, which ``materialize`` can run in the same Python worker as its writer; the cache ``keeps`` outlives a task."""
+    out = df.mapInArrow(_lean(function, keeps), schema)
+    out.mapped_from = (df, function, keeps)
     return out
 
 
-def _lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``function`` that gives memory back when its task ends: workers live on, and would hold it beside the next step's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tracehull.llm.common import WORKER_CACHES  # the worker's own
+
+        for name, empty in WORKER_CACHES.items():
+            if name != keeps:
+                empty()
         yield from function(batches)
         release_memory()
 
@@ -100,7 +109,7 @@ def materialize(df: DataFrame, kind: str) -> DataFrame:
 
 def _write_files(df: DataFrame, path: str) -> int:
     """Write ``df`` as Parquet files of Python tasks under the file URI ``path``; how many files were written."""
-    source, function = getattr(df, "mapped_from", (df, None))
+    source, function, keeps = getattr(df, "mapped_from", (df, None, ""))
     schema = to_arrow_schema(df.schema)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +137,7 @@ def _write_files(df: DataFrame, path: str) -> int:
             yield pa.RecordBatch.from_pydict({"file": [name], "rows": [rows]})
 
     short_batches(df.sparkSession)
-    kept = {r["file"] for r in source.mapInArrow(_lean(write), "file string, rows long").collect()}  # one name a task
+    kept = {r["file"] for r in source.mapInArrow(_lean(write, keeps), "file string, rows long").collect()}  # one name a task
     if kept:
         fs, base = open_fs(path)
         for info in fs.get_file_info(pafs.FileSelector(base)):

@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, length: int = SEQUENCE, tokenizer: str | None = None
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
-    return map_arrow(docs.select("doc_id", "text"), cut, schema)
+    return map_arrow(docs.select("doc_id", "text"), cut, schema, keeps="ids")
 
 
 def pack_histogram(histogram: dict[int, int], most: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:

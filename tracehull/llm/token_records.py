@@ -85,7 +85,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, dt
             yield pa.RecordBatch.from_pydict({"shard": [int(tag.split("-")[0])], "file": [f"{folder}/{tag}"], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(map_arrow(ordered, write, "shard long, file string, n_docs long, n_tokens long"), "manifest")
+    return materialize(map_arrow(ordered, write, "shard long, file string, n_docs long, n_tokens long", keeps="ids"), "manifest")
 
 
 def read_records(manifest: DataFrame, dtype: str = "<u2", with_ids: bool = False) -> DataFrame:

@@ -17,6 +17,8 @@ import re
 
 import numpy as np
 
+from .common import WORKER_CACHES
+
 _PART = re.compile(r"[ \n\t\r]*[A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?=[ \n\t\r,.!?;:$%*&#|]|\Z)|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+\Z")
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 _LATIN = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
@@ -34,7 +36,7 @@ class Encoder:
 
     #: Parts kept at most, in two generations: when the younger is half of that, it takes the older one's place, so that
     #: parts in use stay and memory is bounded. Results do not depend on it.
-    CAPACITY = 500_000
+    CAPACITY = 400_000
     #: Longer parts are not kept.
     LONGEST = 64
 
@@ -135,6 +137,9 @@ def encoder(path: str, dtype: str = "<u4", end: int = 0) -> Encoder:
     return Encoder(path, dtype, end)
 
 
+WORKER_CACHES["ids"] = encoder.cache_clear
+
+
 def chunks(rows: list, sizes: list[int], most: int = 4_000_000):
     """Runs of ``rows`` whose sizes sum to about ``most``, so that a batch of long texts stays small."""
     start, total = 0, 0

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import require, temp_name
+from .common import map_arrow, require, temp_name
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -155,7 +155,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFra
             fs = [sorted({f for w in row for f in features_of(w)}) for row in ws]
             yield pa.RecordBatch.from_pydict({"words": pa.array(ws, pa.list_(pa.string())), "features": pa.array(fs, pa.list_(pa.string())), "label": batch.column(1), "key": batch.column(2)})
 
-    return texts.select("text", "label", "doc_id").mapInArrow(split, "words array<string>, features array<string>, label int, key long")
+    return map_arrow(texts.select("text", "label", "doc_id"), split, "words array<string>, features array<string>, label int, key long")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_words: int = 4_096, penalty: float = 1.0) -> Model:
@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_words
                 ws = [[w for w in row if not wanted.isdisjoint(features_of(w))] for row in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_pydict({"words": pa.array(ws, pa.list_(pa.string())), "label": batch.column(1), "key": batch.column(2)})
 
-        sparse = rows.select("words", "label", "key").mapInArrow(prune, "words array<string>, label int, key long").orderBy("key", "label", "words")
+        sparse = map_arrow(rows.select("words", "label", "key"), prune, "words array<string>, label int, key long").orderBy("key", "label", "words")
         return fit([(list(r["words"]), r["label"]) for r in sparse.toLocalIterator()], vocabulary, penalty)
     finally:
         rows.unpersist()
