@@ -141,7 +141,7 @@ def parse_postgres_json(lines: DataFrame, emit_raw: bool = False) -> DataFrame:
 
 # MySQL --------------------------------------------------------------------------
 
-#: Query types by the log's command class.
+#: FIXED VALUES. Query types by the log's command class.
 COMMAND_TYPES = {
     "select": "SELECT", "insert": "INSERT", "update": "UPDATE", "delete": "DELETE",
     "create": "CREATE", "create_db": "CREATE", "create_table": "CREATE", "create_index": "CREATE",
