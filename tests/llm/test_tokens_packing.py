@@ -25,7 +25,7 @@ def test_parts_give_the_ids_of_whole_texts(encode):
     e = tokens.Encoder(tokens.tokenizer_path())
     for _ in range(2):
         assert e.encode(texts) == [encode(t).tobytes() for t in texts]
-    e.CAPACITY = 10
+    e.capacity = 10
     assert e.encode(texts) == e.encode(texts)
 
 

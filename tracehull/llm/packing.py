@@ -29,13 +29,16 @@ from .tokens import chunks, encoder, tokenizer_path
 SEQUENCE = 1024
 
 
-def pieces(docs: DataFrame, length: int = SEQUENCE, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """Pieces of at most ``length`` ids: doc_id, start, length, ids_crc32, doc_tokens; the ids themselves on demand."""
+def pieces(docs: DataFrame, length: int = SEQUENCE, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = False, parts: int | None = None) -> DataFrame:
+    """Pieces of at most ``length`` ids: doc_id, start, length, ids_crc32, doc_tokens; the ids themselves on demand.
+
+    A worker remembers the ids of ``parts`` distinct parts of texts (by default the encoder's capacity): fewer take less memory and more time.
+    """
     require(docs, "doc_id", "text")
     tokenizer = tokenizer or tokenizer_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, "<u4", end_id).encode
+        encode = encoder(tokenizer, "<u4", end_id, parts).encode
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for some in chunks(list(zip(doc_ids, texts, strict=True)), [len(t or "") for t in texts]):
@@ -155,6 +158,6 @@ def pack(cut: DataFrame, length: int = SEQUENCE) -> DataFrame:
     return ranked.mapInArrow(place, ", ".join([*fields, "sequence_id long", "offset long"]))
 
 
-def pack_documents(docs: DataFrame, length: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, length: int = SEQUENCE, with_ids: bool = False, parts: int | None = None) -> DataFrame:
     """Encode, cut and pack ``docs``; each id lies in one piece, each piece in one sequence."""
-    return pack(materialize(pieces(docs, length, with_ids=with_ids), "pieces"), length)
+    return pack(materialize(pieces(docs, length, with_ids=with_ids, parts=parts), "pieces"), length)

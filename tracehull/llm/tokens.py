@@ -34,13 +34,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """Texts to ids as little-endian bytes of ``dtype``; ``end`` follows each text."""
 
-    #: Parts kept at most, in two generations: when the younger is half of that, it takes the older one's place, so that
-    #: parts in use stay and memory is bounded. Results do not depend on it.
+    #: Parts kept at most, unless told otherwise.
     CAPACITY = 400_000
     #: Longer parts are not kept.
     LONGEST = 64
 
-    def __init__(self, path: str, dtype: str = "<u4", end: int = 0):
+    def __init__(self, path: str, dtype: str = "<u4", end: int = 0, capacity: int | None = None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,6 +63,9 @@ class Encoder:
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.n_bytes[i] = len(token)
+        #: Parts kept, in two generations: when the younger is half of that, it takes the older one's place, so that
+        #: parts in use stay and memory is bounded. Results do not depend on it.
+        self.capacity = capacity or self.CAPACITY
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -108,7 +110,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         parts = [self._parts(t) if t else [""] for t in texts]
-        if len(self.known) > self.CAPACITY // 2:
+        if len(self.known) > self.capacity // 2:
             self.older, self.known = self.known, {}
         get = self.known.get
         found = [list(map(get, ps)) for ps in parts]
@@ -132,15 +134,15 @@ class Encoder:
 
 
 @functools.cache
-def encoder(path: str, dtype: str = "<u4", end: int = 0) -> Encoder:
+def encoder(path: str, dtype: str = "<u4", end: int = 0, capacity: int | None = None) -> Encoder:
     """One encoder for all tasks of a worker process, so that what one task has looked up serves the next."""
-    return Encoder(path, dtype, end)
+    return Encoder(path, dtype, end, capacity)
 
 
 WORKER_CACHES["ids"] = encoder.cache_clear
 
 
-def chunks(rows: list, sizes: list[int], most: int = 4_000_000):
+def chunks(rows: list, sizes: list[int], most: int = 1_000_000):
     """Runs of ``rows`` whose sizes sum to about ``most``, so that a batch of long texts stays small."""
     start, total = 0, 0
     for i, n in enumerate(sizes):
