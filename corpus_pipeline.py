@@ -33,8 +33,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 1024 tokens."""
-    return packing.pack_documents(docs)
+    """Pieces of documents in sequences of at most 1024 tokens; small dictionaries, as executors hold four stages' memory already."""
+    return packing.pack_documents(docs, parts=100_000)
 
 
 STAGES = [
