@@ -155,8 +155,8 @@ def discard(*tables: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let the driver drop plans it no longer needs; executors delete a shuffle's files only after that."""
-    gc.collect()
+    """Let the driver drop plans it no longer needs and give their memory back; executors delete a shuffle's files only after that."""
+    release_memory()
     spark._jvm.System.gc()
 
 
