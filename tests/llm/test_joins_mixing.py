@@ -2,6 +2,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracehull.llm import components, mixing, ngram_join
@@ -107,6 +108,46 @@ def test_low_thresholds_are_refused(spark):
         ngram_join.near_duplicates(helpers.nothing(spark), 3, 60)
 
 
+def test_contracted_edges(monkeypatch):
+    """Stars connect what the edges connect, no least neighbour grows, and settled edges stay, whatever a task holds at a time."""
+    rng = random.Random(4)
+    for chunk in (1, 7, 50, 1000):
+        monkeypatch.setattr(components, "CHUNK", chunk)
+        edges = list({(max(a, b), min(a, b)) for a, b in ((rng.randrange(300), rng.randrange(300)) for _ in range(200)) if a != b})
+
+        def contracted(rows):
+            batches = [pa.RecordBatch.from_pydict({"u": [u for u, _ in rows[i : i + 9]], "v": [v for _, v in rows[i : i + 9]]}) for i in range(0, len(rows), 9)]
+            return [(u, v) for b in components._contracted(iter(batches)) for u, v in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+
+        out = contracted(edges)
+        assert roots(out) == roots(edges) and len(out) <= len(edges)
+        least = lambda rows: {x: min(v for u, v in rows if u == x) for x, _ in rows}
+        after = least(out)
+        assert all(after[u] <= v for u, v in least(edges).items())
+        settled = [(u, r) for u, r in roots(edges).items() if u != r]
+        assert sorted(contracted(settled)) == sorted(settled)
+
+
+def roots(edges):
+    """Least node that each node of ``edges`` reaches."""
+    found = {x: x for e in edges for x in e}
+    while True:
+        before = dict(found)
+        for u, v in edges:
+            found[u] = found[v] = min(found[u], found[v])
+        if before == found:
+            return found
+
+
+def test_components_over_many_tasks(spark):
+    """A long path, a hub and random edges, dealt over 40 tasks."""
+    rng = random.Random(9)
+    edges = [(i, i + 1) for i in range(1000, 1300)] + [(5000, i) for i in range(2000, 2300)] + [(rng.randrange(4000, 4400), rng.randrange(4000, 4400)) for _ in range(300)]
+    rng.shuffle(edges)
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long").repartition(40)).collect()}
+    assert got == {x: r for x, r in roots([e for e in edges if e[0] != e[1]]).items()}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import discard, materialize
+from .common import discard, map_arrow, materialize
+
+#: Edges that a task contracts at a time, so that its memory is bounded.
+CHUNK = 200_000
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -20,17 +26,61 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _stars(u: list[int], v: list[int]) -> tuple[list[int], list[int]]:
+    """Edges to the least node of each component of the edges ``u``, ``v``: a forest that connects the same nodes."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while parent[top] != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for a, b in zip(u, v, strict=True):
+        parent.setdefault(a, a)
+        parent.setdefault(b, b)
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    lower = [(x, r) for x in parent if (r := root(x)) != x]
+    return [x for x, _ in lower], [r for _, r in lower]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of a task as stars, at most ``CHUNK`` and a batch at a time."""
+    u: list[int] = []
+    v: list[int] = []
+    for batch in batches:
+        u += batch.column(0).to_pylist()
+        v += batch.column(1).to_pylist()
+        if len(u) >= CHUNK:
+            u, v = _stars(u, v)
+            if 2 * len(u) > CHUNK:  # else there is room for more edges
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                u, v = [], []
+    u, v = _stars(u, v)
+    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def _contract(edges: DataFrame) -> DataFrame:
+    """Fewer edges that connect the same nodes; no node's least neighbour grows, so settled edges stay as they are."""
+    return map_arrow(edges.select("u", "v"), _contracted, "u long, v long")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for nodes of ``edges`` (u, v: long); the component is its least node.
 
     Each round is written to the shared folder, so no lineage grows and a lost executor
     costs one round; it is deleted when the next one is written. Stars shrink the longest
-    path by a constant factor a round. ``discard`` deletes the result's table.
+    path by a constant factor a round, and each task contracts the edges it holds, which
+    saves rounds; edges are settled when a round leaves them all as they are. ``discard`` deletes the result's table.
     """
-    edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    edges = materialize(_contract(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), "edges")
     mark = _mark(edges)
     for _ in range(most_rounds if mark[0] else 0):
-        before, edges = edges, materialize(_small_star(_large_star(edges)), "edges")
+        before, edges = edges, materialize(_contract(_small_star(_large_star(edges))), "edges")
         discard(before)
         last, mark = mark, _mark(edges)
         if last == mark:
