@@ -15,6 +15,7 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 #: A word is a maximal run of characters outside this set of seven white-space code points.
@@ -57,7 +58,7 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
 WORKER_CACHES: dict[str, Callable[[], None]] = {}
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: str = "") -> DataFrame:
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, keeps: str = "") -> DataFrame:
     """``df.mapInArrow``, which ``materialize`` can run in the same Python worker as its writer; the cache ``keeps`` outlives a task."""
     out = df.mapInArrow(_lean(function, keeps), schema)
     out.mapped_from = (df, function, keeps)

@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
 from .common import discard, map_arrow, materialize, require, temp_name
@@ -237,11 +238,14 @@ def _without(docs: DataFrame, keep_first: bool, bounds: dict) -> tuple[DataFrame
     places, sign, other, mark = (temp_name(docs, n) for n in ("places", "sign", "other", "mark"))
     drops = dropped_lines(docs.select("doc_id", "text"), keep_first, **bounds).select(F.col("doc_id").alias(other), F.col("sign").alias(mark), F.col("places").alias(places))
 
-    @F.pandas_udf("long")
-    def text_sign(text):  # noqa: ANN001, ANN202
-        return text.map(lambda t: _signed(xxh64_intdigest(t)) if t else 0, na_action=None)
+    at = docs.columns.index("text")
 
-    signed = docs.withColumn(sign, text_sign("text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs = pa.array((_signed(xxh64_intdigest(t)) if (t := text.as_py()) else 0 for text in batch.column(at)), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, signs], names=[*batch.schema.names, sign])
+
+    signed = map_arrow(docs, run, StructType([*docs.schema.fields, StructField(sign, LongType())]))
     return signed.join(drops, F.col("doc_id").eqNullSafe(F.col(other)) & (F.col(sign) == F.col(mark)), "left").drop(other, mark, sign), places
 
 

@@ -28,9 +28,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import map_arrow, require, temp_name
+from .common import map_arrow, require
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -187,25 +189,40 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_words
         rows.unpersist()
 
 
+def _scores(texts: pa.Array, model: Model) -> pa.Array:
+    return pa.array((model.score(t.as_py()) for t in texts), pa.float64())
+
+
 def score(texts: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """``texts`` with the model's score of its text column, 0 to 1; the model (at most max_words words) travels with the function."""
+    require(texts, "text")
+    at = texts.columns.index("text")
 
-    @F.pandas_udf("double")
-    def scored(text):  # noqa: ANN001, ANN202
-        return text.map(model.score, na_action=None).astype(float)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, _scores(batch.column(at), model)], names=[*batch.schema.names, name])
 
-    return texts.withColumn(name, scored("text"))
+    return map_arrow(texts, run, StructType([*texts.schema.fields, StructField(name, DoubleType())]))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, **bounds: float) -> DataFrame:
     """doc_id, held_out, score, predicted (1 from one half on) of every document."""
     model = train(docs, labels, **bounds)
-    return score(docs.select("doc_id", "text"), model).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _scores(batch.column(1), model)], names=["doc_id", "score"])
+
+    scored = map_arrow(docs.select("doc_id", "text"), run, StructType([docs.schema["doc_id"], StructField("score", DoubleType())]))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without those scored ``threshold`` or more."""
-    name = temp_name(docs, "toxicity")
-    return score(docs, train(docs, labels), name).where(F.col(name) < threshold).drop(name)
+    model, at = train(docs, labels), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pc.less(_scores(batch.column(at), model), threshold))
+
+    return map_arrow(docs, run, docs.schema)
