@@ -154,6 +154,48 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
 
 
+@pytest.fixture
+def thirty_tasks(spark):
+    """Shuffles of 30 tasks that Spark does not merge."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize(("chunk", "least", "most"), [(200_000, 2, 2), (50, 3, 60)])
+def test_components_within_a_chunk_and_beyond(spark, thirty_tasks, monkeypatch, chunk, least, most):
+    """Edges that fit a chunk are settled by the second table, over however many tasks they come; more of them take rounds."""
+    tables, materialize = [], components.materialize
+    monkeypatch.setattr(components, "CHUNK", chunk)
+    monkeypatch.setattr(components, "materialize", lambda df, kind: tables.append(kind) or materialize(df, kind))
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(1000, 1200)] + [(i + 1, i) for i in range(1000, 1050)] + [(rng.randrange(4000, 4300), rng.randrange(4000, 4300)) for _ in range(200)] + [(9, 9)]
+    rng.shuffle(edges)
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long").repartition(40)).collect()}
+    assert got == roots([e for e in edges if e[0] != e[1]])
+    assert least <= len(tables) <= most
+
+
+def test_sketch_takes_one_job(spark, thirty_tasks):
+    """However many tasks sum its slices; and its ranks are those of plain counts."""
+    docs = spark.createDataFrame([(i, f"a b c d{i % 3} e{i}") for i in range(40)], "doc_id long, text string").repartition(3)
+    sets = ngram_join.map_arrow(docs, ngram_join._sets_and_sketch(3, 90), "doc_id long, n long, f1 long, f2 long, bits binary, slice int, counts binary")
+    spark.sparkContext.setJobGroup("sketch", "sketch")
+    try:
+        got = ngram_join._sketch(sets)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("sketch")) == 1
+    mask, expected = (1 << ngram_join.SKETCH_BITS) - 1, np.zeros(1 << ngram_join.SKETCH_BITS, np.uint8)
+    times = collections.Counter(int(s) & mask for i in range(40) for s in ngram_join.shingles(f"a b c d{i % 3} e{i}".encode()))
+    for at, k in times.items():
+        expected[at] = int(np.ceil(8 * np.log2(k)))
+    assert (got == expected).all()
+
+
 def plain_targets(sizes, weights=(5, 2, 1)):
     ranked = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % 3] for i, s in enumerate(ranked)}

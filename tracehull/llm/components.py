@@ -1,4 +1,4 @@
-"""Connected components of a distributed edge list, by alternating large and small stars."""
+"""Connected components of a distributed edge list: in one task what fits a task's chunk, else by alternating large and small stars."""
 
 from __future__ import annotations
 
@@ -73,15 +73,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for nodes of ``edges`` (u, v: long); the component is its least node.
 
     Each round is written to the shared folder, so no lineage grows and a lost executor
-    costs one round; it is deleted when the next one is written. Stars shrink the longest
-    path by a constant factor a round, and each task contracts the edges it holds, which
-    saves rounds; edges are settled when a round leaves them all as they are. ``discard`` deletes the result's table.
+    costs one round; it is deleted when the next one is written. Each task contracts the
+    edges it holds; as soon as no more than ``CHUNK`` are left, one task contracts them
+    all, which settles them. While there are more, stars shrink the longest path by a
+    constant factor a round; edges are settled when a round leaves them all as they are.
+    ``discard`` deletes the result's table.
     """
-    edges = materialize(_contract(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), "edges")
+    edges = materialize(_contract(edges.where("u <> v")), "edges")
     mark = _mark(edges)
     for _ in range(most_rounds if mark[0] else 0):
-        before, edges = edges, materialize(_contract(_small_star(_large_star(edges))), "edges")
+        before, fits = edges, mark[0] <= CHUNK
+        edges = materialize(_contract(edges.coalesce(1) if fits else _small_star(_large_star(edges))), "edges")
         discard(before)
+        if fits:
+            break
         last, mark = mark, _mark(edges)
         if last == mark:
             break

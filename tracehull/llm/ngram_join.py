@@ -140,16 +140,16 @@ def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for s, total in sums.items():
         # eight steps an octave are enough for an order from rare to common
         rank = np.minimum(np.ceil(8 * np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
-        yield pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int32()), "rank": pa.array([rank.tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int32()), "rank": pa.array([pa.compress(rank.tobytes(), "zstd", asbytes=True)], pa.binary())})
 
 
 def _sketch(parts: DataFrame) -> np.ndarray:
-    """Rank of commonness by the low bits of a shingle: a fixed 2 ** SKETCH_BITS bytes, whatever the corpus."""
+    """Rank of commonness by the low bits of a shingle: a fixed 2 ** SKETCH_BITS bytes, whatever the corpus, so one job fetches it."""
     summed = parts.where("slice IS NOT NULL").select("slice", "counts").repartition("slice").mapInArrow(_sum_slices, "slice int, rank binary")
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for row in summed.toLocalIterator():
+    for row in summed.collect():
         at = row["slice"] << SLICE_BITS
-        out[at : at + (1 << SLICE_BITS)] = np.frombuffer(row["rank"], np.uint8)
+        out[at : at + (1 << SLICE_BITS)] = np.frombuffer(pa.decompress(row["rank"], 1 << SLICE_BITS, "zstd", asbytes=True), np.uint8)
     return out
 
 
